@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from slotlake import constants as K
 from slotlake.catalog import roles
 from slotlake.catalog.registry import comparable, query, r6, table
+from slotlake.catalog.tables import payload_requests
 from slotlake.config import BoostSettings, ForestSettings, resolve_granularity
 from slotlake.functions import temporal
 from slotlake.operators import evaluate, split
+from slotlake.operators.cleaning import fill_numeric, numeric_columns
 from slotlake.plans import etl, scoring, training
 from slotlake.session import freeze, new_path
 from slotlake.streaming import scorer
-from slotlake.catalog.tables import payload_requests
 
 # sized for one machine; the defaults of the settings are the production sizes
 FOREST = ForestSettings(trees=10, depth=5)
@@ -23,14 +24,12 @@ TARGET, LEAKAGE = resolve_granularity("half_hour")
 
 def feature_rows(spark, sf):
     """The feature table of all event bookings, filled by the mean, with the booking id."""
-    features = etl.transform_features(roles.event_star(spark, sf), roles.HOLIDAYS_2024, keep=["booking_id"])
-    return freeze(training_rows(features), "training-rows")
-
-
-def training_rows(features):
-    from slotlake.operators.cleaning import fill_numeric, numeric_columns
-    ids = {"booking_id", *K.TIME_SIBLINGS}
-    return fill_numeric(features, "mean", columns=[c for c in numeric_columns(features) if c not in ids])
+    features = etl.build_features(
+        roles.event_bookings(spark, sf), roles.restaurants(spark, sf), roles.members(spark, sf),
+        keep=["booking_id"], holidays=roles.HOLIDAYS_2024)
+    whole = {"booking_id", *K.TIME_SIBLINGS}
+    filled = fill_numeric(features, "mean", columns=[c for c in numeric_columns(features) if c not in whole])
+    return freeze(filled, "training-rows")
 
 
 def model_features(df):
@@ -201,8 +200,8 @@ def score_stream(spark, sf):
     """Arriving bookings scored with models trained on the same rows; every booking comes out once."""
     _, models, _ = _trained(spark, sf)
     bundle = scoring.bundle_of(models)
-    source = f"{sf}/events.parquet"
-    stream = scorer.read_stream(spark, source, spark.read.parquet(source).schema)
+    # a pattern, as a stream reads folders or patterns but no single file
+    stream = scorer.read_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
 
     def score(events):
         rows = roles.bookings_from_events(events).withColumnsRenamed(K.FEATURE_NAMES).withColumns({

@@ -155,7 +155,9 @@ feat AS (SELECT s.booking_id, {stamp_sql('cdate')} AS booking_time, {stamp_sql('
 WITH {star_sql(roles.ORDER_BOOKINGS_SQL)}, {_venue_sql()}, {_features_sql(roles.HOLIDAYS_1998)}
 SELECT * EXCLUDE (booking_id) FROM feat""")
 def features_ready(spark, sf):
-    return comparable(etl.transform_features(roles.order_star(spark, sf), roles.HOLIDAYS_1998))
+    return comparable(etl.build_features(
+        roles.order_bookings(spark, sf), roles.restaurants(spark, sf), roles.members(spark, sf),
+        holidays=roles.HOLIDAYS_1998))
 
 
 @query("features_ready_events", f"""
@@ -397,7 +399,7 @@ def payload_requests(spark, sf):
     texts = [F.substr(cell(c), F.lit(2), F.length(cell(c)) - 2) for c in cells]
     short = F.concat(F.lit("["), F.concat_ws(",", *texts[:3]), F.lit("]"))
     whole = F.concat(F.lit("["), F.concat_ws(",", *texts), F.lit("]"))
-    entry = F.struct(F.col("event_id"), F.when(F.col("value") > 60, short).otherwise(whole).alias("row"))
+    entry = F.struct(F.col("event_id"), F.when(F.col("value") > 250, short).otherwise(whole).alias("row"))
     grouped = e.groupBy(F.floor(F.col("event_id") / 8).cast("bigint").alias("request_id")).agg(
         F.sort_array(F.collect_list(entry)).alias("rows"))
     index = F.array_join(F.transform("rows", lambda r: r["event_id"].cast("string")), ",")
@@ -407,7 +409,7 @@ def payload_requests(spark, sf):
     return grouped.select("request_id", document.alias("payload"))
 
 
-_BAD_REQUESTS_SQL = "SELECT DISTINCT event_id // 8 FROM events WHERE value > 60"
+_BAD_REQUESTS_SQL = "SELECT DISTINCT event_id // 8 FROM events WHERE value > 250"
 
 
 @query("json_payload_rows", f"""

@@ -97,6 +97,11 @@ def remove_value(df: DataFrame, column: str, value) -> DataFrame:
 
 # --- row filters and anomaly reports -------------------------------------------------------------
 
+def _sorted(df: DataFrame, first: str) -> DataFrame:
+    """Sort by one column, then by the others, so that equal values still spread over tasks."""
+    return df.orderBy(F.col(first).asc_nulls_last(), *[c for c in df.columns if c != first])
+
+
 def filter_invalid_dates(df: DataFrame, created: str, reserved: str) -> DataFrame:
     """Rows created no later than the time they reserve; a missing time drops the row."""
     return df.filter(F.col(created) <= F.col(reserved))
@@ -104,15 +109,15 @@ def filter_invalid_dates(df: DataFrame, created: str, reserved: str) -> DataFram
 
 def invalid_age(df: DataFrame, birth: str, as_of: Column, max_age: int = 120) -> DataFrame:
     age = temporal.age_on(F.col(birth), as_of)
-    return df.filter((age < 0) | (age > max_age)).orderBy(F.col(birth).asc_nulls_last())
+    return _sorted(df.filter((age < 0) | (age > max_age)), birth)
 
 
 def future_dates(df: DataFrame, column: str, as_of: Column) -> DataFrame:
-    return df.filter(F.col(column) > as_of).orderBy(column)
+    return _sorted(df.filter(F.col(column) > as_of), column)
 
 
 def invalid_price(df: DataFrame, column: str, minimum: float = 0) -> DataFrame:
-    return df.filter(F.col(column) < minimum).orderBy(column)
+    return _sorted(df.filter(F.col(column) < minimum), column)
 
 
 def band_filter(df: DataFrame, column: str, first: int, last: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotlake import constants as K
@@ -21,8 +21,7 @@ def fit_levels(train: DataFrame, columns: Sequence[str] = K.CATEGORICAL_COLUMNS)
     present = [c for c in columns if c in train.columns]
     entries = F.array(*[
         F.struct(F.lit(c).alias("column"), category_text(F.col(c)).alias("label")) for c in present])
-    labels = freeze(train.select(F.inline(entries)).distinct(), "labels")
-    return freeze(sorted_codes(labels), "levels")
+    return sorted_codes(freeze(train.select(F.inline(entries)).distinct(), "labels"))
 
 
 def apply_levels(df: DataFrame, levels: DataFrame, columns: Sequence[str] = K.CATEGORICAL_COLUMNS,
@@ -60,7 +59,7 @@ def fit_target(train: DataFrame, target: str) -> DataFrame:
     """``label, code`` of a numeric target, codes 0 to n - 1 by value."""
     labels = train.filter(F.col(target).isNotNull()).select(
         F.lit(target).alias("column"), F.col(target).alias("label")).distinct()
-    return freeze(sorted_codes(freeze(labels, "targets")).select("label", "code"), "target-codes")
+    return sorted_codes(freeze(labels, "targets")).select("label", "code")
 
 
 def encode_target(df: DataFrame, codes: DataFrame, target: str, output: str = "target_code",
@@ -88,8 +87,30 @@ class OneHot:
     levels: dict[str, list[str]]
     baselines: dict[str, str]
 
+    def outputs(self) -> list[tuple[str, str, str]]:
+        """``(column, level, output name)``; dots and backticks cannot stand in a plain name."""
+        found, taken = [], set()
+        for c, levels in self.levels.items():
+            for v in levels:
+                if self.baselines.get(c) == v:
+                    continue
+                name = f"{c}_{v}".replace(".", "_").replace("`", "_")
+                while name in taken:
+                    name += "_"
+                taken.add(name)
+                found.append((c, v, name))
+        return found
+
     def names(self) -> list[str]:
-        return [f"{c}_{v}" for c, vs in self.levels.items() for v in vs if self.baselines.get(c) != v]
+        return [name for _, _, name in self.outputs()]
+
+
+def _level_text(df: DataFrame, column: str) -> Column:
+    """Text of a level; a whole number has no decimals even in a DOUBLE column."""
+    c = F.col(column)
+    if dict(df.dtypes)[column] in ("double", "float"):
+        return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    return c.cast("string")
 
 
 def fit_one_hot(train: DataFrame, columns: Sequence[str],
@@ -97,7 +118,7 @@ def fit_one_hot(train: DataFrame, columns: Sequence[str],
     """Levels of the training rows. They become column names, so the driver has to know them."""
     present = [c for c in columns if c in train.columns]
     entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label")) for c in present])
+        F.struct(F.lit(c).alias("column"), _level_text(train, c).alias("label")) for c in present])
     rows = train.select(F.inline(entries)).filter("label is not null").distinct().collect()
     numeric = {c for c in present if dict(train.dtypes)[c] != "string"}
     levels: dict[str, list[str]] = {}
@@ -113,12 +134,9 @@ def apply_one_hot(df: DataFrame, fitted: OneHot) -> DataFrame:
     A frame without one of the columns gets zeros, so test rows always align with training rows.
     """
     dummies = {}
-    for c, levels in fitted.levels.items():
-        for v in levels:
-            if fitted.baselines.get(c) == v:
-                continue
-            hit = (F.col(c).cast("string") == v) if c in df.columns else F.lit(False)
-            dummies[f"{c}_{v}"] = F.coalesce(hit.cast("int"), F.lit(0))
+    for c, v, name in fitted.outputs():
+        hit = (_level_text(df, c) == v) if c in df.columns else F.lit(False)
+        dummies[name] = F.coalesce(hit.cast("int"), F.lit(0))
     return df.withColumns(dummies).drop(*fitted.levels)
 
 

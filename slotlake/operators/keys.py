@@ -22,9 +22,11 @@ def duplicates(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     skewed partitions can be split; a window would hold a frequent key in one task.
     """
     repeated = df.groupBy(*subset).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    # sorting by the other columns too lets the rows of one frequent key spread over tasks
+    others = [c for c in df.columns if c not in subset]
     return (
         df.alias("l").join(repeated.alias("r"), _same_key(subset), "left_semi")
-        .orderBy(*[F.col(c).asc_nulls_last() for c in subset])
+        .orderBy(*[F.col(c).asc_nulls_last() for c in subset], *others)
     )
 
 

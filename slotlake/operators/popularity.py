@@ -78,8 +78,17 @@ class VenueStatistics:
 
 
 def fit_venue_statistics(df: DataFrame, restaurant: str = "restaurant_id", datetime: str = "datetime",
-                         area: str = "cityarea", dinner: tuple[int, int] = K.DINNER_HOURS) -> VenueStatistics:
-    counts = freeze(hour_counts(df, restaurant, datetime, area), "hour-counts")
+                         area: str = "cityarea", dinner: tuple[int, int] = K.DINNER_HOURS,
+                         areas: DataFrame | None = None) -> VenueStatistics:
+    """Fit on joined bookings, or on bare bookings with ``areas``, a table ``id, area`` with
+    one row per restaurant. The latter reads two columns of the bookings and joins counts."""
+    if areas is None:
+        counts = hour_counts(df, restaurant, datetime, area)
+    else:
+        known = areas.select(F.col("id").alias("_id"), F.col(area).alias("area"))
+        bare = hour_counts(df, restaurant, datetime)
+        counts = bare.join(known, bare["restaurant"] == known["_id"], "left").drop("_id")
+    counts = freeze(counts, "hour-counts")
     return VenueStatistics(
         freeze(popularity_by_restaurant(counts, dinner), "popularity"),
         overall_popular_hour(counts).first()["popular_hour"],

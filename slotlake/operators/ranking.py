@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotlake.session import freeze
+
 SETTLE_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
@@ -215,11 +217,12 @@ def rank_in_group(df: DataFrame, group: Sequence[str], key: str, rank: str = "ra
     hashed = hashed.withColumn("_range", F.substring("_hash", 1, digits))
     part = [*group, "_range"]
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    # one number per group and range; written out, so that its true size decides the join
+    offsets = freeze(
         hashed.groupBy(*part).agg(F.count("*").alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(part)], "_offset")
-    )
+        .select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(part)], "_offset"),
+        "rank-offsets")
     inner = Window.partitionBy(*part).orderBy("_hash", key)
     same = [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(part)]
     condition = same[0]

@@ -49,9 +49,20 @@ def transform_features(df: DataFrame, holidays: Sequence[str] = K.HOLIDAYS_2014,
     )
 
 
+def build_features(bookings: DataFrame, restaurants: DataFrame, members: DataFrame,
+                   fitted: VenueStatistics | None = None, keep: Sequence[str] = (),
+                   **feature_options) -> DataFrame:
+    """Star join and feature table of clean bookings.
+
+    Without ``fitted`` statistics they come from a scan of two booking columns, before the join.
+    """
+    if fitted is None:
+        fitted = fit_venue_statistics(bookings, areas=restaurants)
+    joined = star_join(bookings, restaurants, members)
+    return transform_features(joined, fitted=fitted, keep=keep, **feature_options)
+
+
 def features_from_raw(bookings: DataFrame, restaurants: DataFrame, members: DataFrame,
-                      fitted: VenueStatistics | None = None, keep: Sequence[str] = (),
-                      **feature_options) -> DataFrame:
+                      **options) -> DataFrame:
     """Clean unseen bookings, join the cleaned dimensions, derive the features."""
-    joined = star_join(cleaning.clean_bookings(bookings), restaurants, members)
-    return transform_features(joined, fitted=fitted, keep=keep, **feature_options)
+    return build_features(cleaning.clean_bookings(bookings), restaurants, members, **options)

@@ -118,7 +118,11 @@ def score_rows(df: DataFrame, bundle: Bundle, keys: Sequence[str], stage: bool =
     Each band is one branch of the plan. A batch is first written once, partitioned by band, so
     that a branch reads its own rows only; ``stage=False`` keeps a stream in one plan.
     """
-    routed = routing.route(df, bundle.bands)
+    used = {c for m in bundle.models.values() for c in m.features} | {ROUTING_COLUMN}
+    if ROUTING_COLUMN not in df.columns:
+        raise ValueError(f"rows need {ROUTING_COLUMN!r} to be routed to a meal band")
+    pruned = df.select(*keys, *[c for c in df.columns if c in used and c not in keys])
+    routed = routing.route(pruned, bundle.bands)
     if stage:
         path = new_path(df.sparkSession, "routed")
         routed.write.partitionBy("subset").parquet(path)

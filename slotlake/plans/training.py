@@ -117,7 +117,8 @@ def fit_classifier(train: DataFrame, target: str, features: Sequence[str], estim
     evaluate.assert_no_leakage(features, [*K.TIME_SIBLINGS, target])
     numeric, categorical = split_feature_names(train, features)
     typed = with_model_types(train.filter(F.col(target).isNotNull()), numeric, categorical)
-    labels = [r["label"] for r in encode.fit_target(train, target).orderBy("code").collect()]
+    # a multiclass model holds its classes on the driver in any case
+    labels = sorted(r[0] for r in typed.select(target).distinct().collect())
     place = F.array_position(F.lit(labels), F.col(target)) - 1
     metadata = {"ml_attr": {"type": "nominal", "vals": [str(v) for v in labels], "name": "label"}}
     labelled = typed.withColumn("label", place.cast("double")).withMetadata("label", metadata)
