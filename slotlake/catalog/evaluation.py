@@ -10,7 +10,7 @@ from slotlake.catalog.roles import PREDICTIONS_SQL
 from slotlake.config import OVERLAPPING_BANDS, TWO_BANDS
 from slotlake.operators import evaluate, profile, routing
 from slotlake.operators.split import stratified_folds
-from slotlake.plans.training import fold_scores, summarise_folds
+from slotlake.plans.training import scores_by_fold, summarise_folds
 
 _BY = ["subset"]
 
@@ -213,4 +213,4 @@ def cv_baseline(spark, sf):
     training = marked.select("slot", F.explode(held_out).alias("fold"))
     guesses = routing.fit_most_frequent(training, "slot", "fold")
     scored = routing.apply_most_frequent(marked, guesses, "fold")
-    return comparable(summarise_folds(fold_scores(scored, "slot", "baseline")))
+    return comparable(summarise_folds(scores_by_fold(evaluate.confusion(scored, "slot", "baseline", ["fold"]))))

@@ -27,9 +27,9 @@ def feature_rows(spark, sf):
     features = etl.build_features(
         roles.event_bookings(spark, sf), roles.restaurants(spark, sf), roles.members(spark, sf),
         keep=["booking_id"], holidays=roles.HOLIDAYS_2024)
+    features = freeze(features, "features")
     whole = {"booking_id", *K.TIME_SIBLINGS}
-    filled = fill_numeric(features, "mean", columns=[c for c in numeric_columns(features) if c not in whole])
-    return freeze(filled, "training-rows")
+    return fill_numeric(features, "mean", columns=[c for c in numeric_columns(features) if c not in whole])
 
 
 def model_features(df):
@@ -156,7 +156,8 @@ def feature_ablation(spark, sf):
 # --- bundles and scoring --------------------------------------------------------------------------------
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"""
+SELECT subset, count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM ({roles.SLOTTED_SQL}) WHERE is_test GROUP BY subset""")
 def model_roundtrip(spark, sf):
     """Predictions of a stored and reloaded bundle beside those of the models in memory."""
     df, models, _ = _trained(spark, sf)
@@ -172,7 +173,10 @@ def model_roundtrip(spark, sf):
         F.count_if(~F.col("reservation_half_hour").eqNullSafe(F.col("slot_in_memory"))).alias("n_different"))
 
 
-@query("bundle_manifest")
+@query("bundle_manifest", f"""
+SELECT subset, CAST(min(h) AS INT) AS hour_min, CAST(max(h) AS INT) AS hour_max,
+       CAST(count(DISTINCT CASE WHEN NOT is_test THEN slot END) AS INT) AS n_classes, 25 AS n_features
+FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched' GROUP BY subset""")
 def bundle_manifest(spark, sf):
     _, models, _ = _trained(spark, sf)
     path = new_path(spark, "bundle")

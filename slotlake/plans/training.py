@@ -7,7 +7,9 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -23,10 +25,18 @@ from slotlake.functions.temporal import round_to_slot
 from slotlake.functions.values import category_text
 from slotlake.operators import encode, evaluate
 from slotlake.operators.split import split_random, split_temporal, stratified_folds
+from slotlake.session import freeze
 
 CODE = "_code"
 
 
+def in_parallel(run: Callable, items: Sequence, threads: int = 4) -> list:
+    """Results of ``run`` per item, in order. Fits of small bands alone would leave executors idle."""
+    items = list(items)
+    with ThreadPool(max(1, min(threads, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(run), items)
+
+
 # --- estimators ------------------------------------------------------------------------------------
 
 def forest_classifier(s: ForestSettings = ForestSettings()) -> Estimator:
@@ -209,9 +219,8 @@ def feature_importance(model: SlotModel | ValueModel, top: int | None = None) ->
 
 # --- cross-validation and search ----------------------------------------------------------------------------
 
-def fold_scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Accuracy and weighted F1 of every fold."""
-    conf = evaluate.confusion(df, label, prediction, ["fold"])
+def scores_by_fold(conf: DataFrame) -> DataFrame:
+    """Accuracy and weighted F1 of every fold, from confusion counts with a ``fold`` column."""
     return evaluate.accuracy(conf, ["fold"]).join(evaluate.weighted_f1(conf, ["fold"]), "fold")
 
 
@@ -225,18 +234,17 @@ def summarise_folds(scores: DataFrame) -> DataFrame:
 def cross_validate(df: DataFrame, target: str, key: str, features: Sequence[str],
                    estimator: Callable[[], Estimator], folds: int = 5) -> DataFrame:
     """Fit everything, encoders included, per fold; one row of means and deviations."""
-    marked = stratified_folds(df.select(key, target, *features), target, key, folds).persist()
-    try:
-        parts = []
-        for fold in range(folds):
-            model = fit_classifier(marked.filter(F.col("fold") != fold), target, features, estimator())
-            parts.append(model.predict(marked.filter(F.col("fold") == fold)).select(
-                "fold", F.col(target).alias("label"), F.col("prediction_label").alias("prediction")))
-        row = summarise_folds(fold_scores(reduce(DataFrame.unionByName, parts), "label", "prediction")).first()
-    finally:
-        marked.unpersist()
-    return SparkSession.active().createDataFrame(
-        [tuple(row)], "cv_acc_mean DOUBLE, cv_acc_std DOUBLE, cv_f1_mean DOUBLE, cv_f1_std DOUBLE")
+    # written once: folds are ranked by a shuffle that no fit should repeat
+    marked = freeze(stratified_folds(df.select(key, target, *features), target, key, folds), "folds")
+
+    def run(fold: int) -> DataFrame:
+        model = fit_classifier(marked.filter(F.col("fold") != fold), target, features, estimator())
+        return model.predict(marked.filter(F.col("fold") == fold)).select(
+            "fold", F.col(target).alias("label"), F.col("prediction_label").alias("prediction"))
+
+    predicted = reduce(DataFrame.unionByName, in_parallel(run, range(folds)))
+    conf = freeze(evaluate.confusion(predicted, by=["fold"]), "fold-counts")
+    return summarise_folds(scores_by_fold(conf))
 
 
 def draw_params(space: Mapping[str, Mapping], rng: random.Random) -> dict:
@@ -304,18 +312,18 @@ def train_band(df: DataFrame, band: Band, target: str, key: str, features: Seque
 def train_bands(df: DataFrame, target: str, key: str, features: Sequence[str],
                 estimator: Callable[[], Estimator], bands: Sequence[Band] = MEAL_BANDS,
                 settings: EvaluationSettings = EvaluationSettings()) -> tuple[list[BandModel], DataFrame]:
-    """A model per band and the pooled predictions on the test rows."""
-    frame = df.persist()
-    try:
-        trained = [train_band(frame, b, target, key, features, estimator(), settings) for b in bands]
-    finally:
-        frame.unpersist()
+    """A model per band and the pooled predictions on the test rows.
+
+    Every fit reads ``df`` several times, so give it a written table rather than a long plan.
+    """
+    trained = in_parallel(
+        lambda b: train_band(df, b, target, key, features, estimator(), settings), bands)
     return [m for m, _ in trained], reduce(DataFrame.unionByName, [p for _, p in trained])
 
 
 def summary(predictions: DataFrame, tolerance: int = 1) -> DataFrame:
     """One row per band: test rows, accuracy, weighted F1 and tolerance accuracy."""
-    conf = evaluate.confusion(predictions, by=["subset"])
+    conf = freeze(evaluate.confusion(predictions, by=["subset"]), "band-counts")  # one run of the models
     return (
         evaluate.accuracy(conf, ["subset"])
         .join(evaluate.weighted_f1(conf, ["subset"]), "subset")
