@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotlake.session import freeze
+
 CORRUPT = "_corrupt_record"
 
 
@@ -34,7 +36,10 @@ def split_bad_lines(df: DataFrame, sep: str = "\t") -> tuple[DataFrame, DataFram
     """Usable rows, and the text of lines with too many fields.
 
     A line with too few fields is kept with nulls at its end, as is a value of the wrong type.
+    The parsed lines are first written as Parquet, so the text is decoded once, and both results
+    read files that can be split and pruned.
     """
+    df = freeze(df, "parsed")
     width = len(df.columns) - 1
     too_long = F.coalesce(
         F.size(F.split(F.col(CORRUPT), f"\\Q{sep}\\E", -1)) > width, F.lit(False))
