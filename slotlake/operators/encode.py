@@ -105,7 +105,7 @@ class OneHot:
         return [name for _, _, name in self.outputs()]
 
 
-def _level_text(df: DataFrame, column: str) -> Column:
+def level_text(df: DataFrame, column: str) -> Column:
     """Text of a level; a whole number has no decimals even in a DOUBLE column."""
     c = F.col(column)
     if dict(df.dtypes)[column] in ("double", "float"):
@@ -118,7 +118,7 @@ def fit_one_hot(train: DataFrame, columns: Sequence[str],
     """Levels of the training rows. They become column names, so the driver has to know them."""
     present = [c for c in columns if c in train.columns]
     entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), _level_text(train, c).alias("label")) for c in present])
+        F.struct(F.lit(c).alias("column"), level_text(train, c).alias("label")) for c in present])
     rows = train.select(F.inline(entries)).filter("label is not null").distinct().collect()
     numeric = {c for c in present if dict(train.dtypes)[c] != "string"}
     levels: dict[str, list[str]] = {}
@@ -135,7 +135,7 @@ def apply_one_hot(df: DataFrame, fitted: OneHot) -> DataFrame:
     """
     dummies = {}
     for c, v, name in fitted.outputs():
-        hit = (_level_text(df, c) == v) if c in df.columns else F.lit(False)
+        hit = (level_text(df, c) == v) if c in df.columns else F.lit(False)
         dummies[name] = F.coalesce(hit.cast("int"), F.lit(0))
     return df.withColumns(dummies).drop(*fitted.levels)
 

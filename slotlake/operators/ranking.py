@@ -108,29 +108,31 @@ def _sketch(df: DataFrame, columns: Mapping[str, Column], brackets: Sequence[_Br
     return out
 
 
-def _settle(df: DataFrame, columns: Mapping[str, Column], brackets: Sequence[_Bracket]) -> dict:
-    """Read the ranks off the sorted distinct values of brackets that are known to be small."""
+def _settle(df: DataFrame, columns: Mapping[str, Column], brackets: Sequence[_Bracket]) -> list[tuple]:
+    """Read the ranks off the sorted distinct values of brackets that are known to be small.
+
+    Ranks that share a value range share its rows, so a column enters once however many of its
+    quantiles are asked for.
+    """
+    ranges = list(dict.fromkeys((b.column, b.low, b.high) for b in brackets))
     entries = [
-        F.when(columns[b.column].between(F.lit(b.low), F.lit(b.high)),
-               F.struct(F.lit(i).alias("id"), columns[b.column].alias("v")))
-        for i, b in enumerate(brackets)
+        F.when(columns[c].between(F.lit(low), F.lit(high)), F.struct(F.lit(i).alias("id"), columns[c].alias("v")))
+        for i, (c, low, high) in enumerate(ranges)
     ]
-    ranks = F.create_map(*[x for i, b in enumerate(brackets) for x in (
-        F.lit(i), F.struct(F.lit(b.first - b.below).alias("first"),
-                           F.lit(b.last - b.below).alias("last")))])
-    found = (
+    ranked = (
         df.select(F.explode(F.array(*entries)).alias("e")).filter("e is not null")
         .groupBy("e.id", "e.v").agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(
             Window.partitionBy("id").orderBy("v")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("want", ranks[F.col("id")])
-        .groupBy("id")
-        .agg(F.min(F.when(F.col("upto") > F.col("want.first"), F.col("v"))).alias("first"),
-             F.min(F.when(F.col("upto") > F.col("want.last"), F.col("v"))).alias("last"))
-        .collect()
     )
-    return {row["id"]: (row["first"], row["last"]) for row in found}
+    wanted = []
+    for i, b in enumerate(brackets):
+        mine = F.col("id") == ranges.index((b.column, b.low, b.high))
+        for name, rank in (("first", b.first), ("last", b.last)):
+            wanted.append(F.min(F.when(mine & (F.col("upto") > rank - b.below), F.col("v"))).alias(f"{name}{i}"))
+    row = ranked.agg(*wanted).first()
+    return [(row[f"first{i}"], row[f"last{i}"]) for i in range(len(brackets))]
 
 
 def order_statistics(df: DataFrame, columns: Mapping[str, Column],
@@ -172,7 +174,7 @@ def order_statistics(df: DataFrame, columns: Mapping[str, Column],
                 brackets[i].margin *= 4
 
     open_ids = [i for i, b in enumerate(brackets) if not b.known]
-    settled = _settle(df, columns, [brackets[i] for i in open_ids]) if open_ids else {}
+    settled = _settle(df, columns, [brackets[i] for i in open_ids]) if open_ids else []
     values = {i: (b.value_at(b.first), b.value_at(b.last)) for i, b in enumerate(brackets) if b.known}
     values.update({i: settled[j] for j, i in enumerate(open_ids)})
     out: dict[str, list[tuple]] = {name: [] for name in pairs}

@@ -13,9 +13,10 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,41 +168,64 @@ def predict_slots(model: ValueModel, df: DataFrame, output: str = "prediction")
 
 @dataclass
 class LinearModel:
-    """Least squares on one-hot and standardised columns."""
+    """Least squares on numbers and one-hot categories, held as sparse vectors."""
 
     pipeline: PipelineModel
-    one_hot: encode.OneHot
-    scaling: dict[str, tuple[float, float]]
-    inputs: list[str]
-
-    def _prepare(self, df: DataFrame) -> DataFrame:
-        return encode.apply_scaling(encode.apply_one_hot(df, self.one_hot), self.scaling)
+    plain: list[str]
+    categories: list[str]
+    names: list[str]
+    deviations: list[float]
 
     def predict(self, df: DataFrame, keep: Sequence[str], output: str = "prediction") -> DataFrame:
-        kept = df.withColumns({f"_keep_{c}": F.col(c) for c in keep})
-        raw = self.pipeline.transform(self._prepare(kept))
+        typed = _linear_inputs(df, self.plain, self.categories, keep)
+        raw = self.pipeline.transform(typed)
         return raw.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("prediction").alias(output))
 
     def coefficients(self) -> DataFrame:
-        fitted = self.pipeline.stages[-1].coefficients
-        rows = [(n, float(v)) for n, v in zip(self.inputs, fitted)]
+        """Effect of one population deviation of each input, so that inputs compare."""
+        rows = [(n, float(c * d)) for n, c, d in zip(self.names, self.pipeline.stages[-1].coefficients, self.deviations)]
         return SparkSession.active().createDataFrame(rows, "feature STRING, coefficient DOUBLE")
 
 
+def _linear_inputs(df: DataFrame, plain: Sequence[str], categories: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    return df.select(
+        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        *[F.col(c).try_cast("double").alias(c) for c in plain],
+        *[encode.level_text(df, c).alias(c) for c in categories])
+
+
 def fit_linear(train: DataFrame, target: str, features: Sequence[str],
-               integer_categories: Sequence[str] = K.INTEGER_CATEGORICAL_COLUMNS) -> LinearModel:
+               integer_categories: Sequence[str] = K.INTEGER_CATEGORICAL_COLUMNS,
+               baselines: Mapping[str, str] = K.ONE_HOT_BASELINES) -> LinearModel:
+    """Fit on complete rows. A label unseen in training, or missing, is zero in every one-hot place:
+    the indexer gives both a last code of their own, and the encoder drops the last code."""
     evaluate.assert_no_leakage(features, [*K.TIME_SIBLINGS, target])
     numeric, text = split_feature_names(train, features)
-    one_hot = encode.fit_one_hot(train, [*text, *[c for c in integer_categories if c in features]])
-    plain = [c for c in numeric if c not in one_hot.levels]
-    inputs = [*plain, *one_hot.names()]
-    dummies = encode.apply_one_hot(train.select(target, *features), one_hot)
-    scaling = encode.fit_scaling(dummies, inputs)
-    scaled = encode.apply_scaling(dummies, scaling).withColumn("label", F.col(target).cast("double"))
-    stages = [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"),
-              LinearRegression(solver="normal", regParam=0.0)]
-    fitted = Pipeline(stages=stages).fit(scaled.select("label", *inputs))
-    return LinearModel(fitted, one_hot, scaling, inputs)
+    categories = [*text, *[c for c in integer_categories if c in features]]
+    plain = [c for c in numeric if c not in categories]
+    rows = _linear_inputs(train, plain, categories, [target]).withColumn(
+        "label", F.col(f"_keep_{target}").cast("double"))
+    stages, names = [], list(plain)
+    if categories:
+        codes, vectors = [f"{c}{CODE}" for c in categories], [f"{c}_vector" for c in categories]
+        indexer = StringIndexer(inputCols=categories, outputCols=codes, stringOrderType="alphabetAsc",
+                                handleInvalid="keep").fit(rows)
+        stages = [indexer, OneHotEncoder(inputCols=codes, outputCols=vectors, dropLast=True)]
+        names += [f"{c}_{v}" for c, labels in zip(categories, indexer.labelsArray) for v in labels]
+        plain_and_vectors = [*plain, *vectors]
+    else:
+        plain_and_vectors = plain
+    dropped = {f"{c}_{v}" for c, v in baselines.items()}
+    kept = [i for i, n in enumerate(names) if n not in dropped]
+    prepare = Pipeline(stages=[
+        *stages, VectorAssembler(inputCols=plain_and_vectors, outputCol="_all", handleInvalid="skip"),
+        VectorSlicer(inputCol="_all", outputCol="features", indices=kept)]).fit(rows)
+    vectors_only = prepare.transform(rows).select("label", "features")
+    moments = vectors_only.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("m")).first()["m"]
+    share = (moments["count"] - 1) / moments["count"] if moments["count"] else 0.0
+    model = LinearRegression(solver="normal", regParam=0.0).fit(vectors_only)
+    return LinearModel(PipelineModel([*prepare.stages, model]), plain, categories, [names[i] for i in kept],
+                       [math.sqrt(v * share) for v in moments["variance"]])
 
 
 # --- importance --------------------------------------------------------------------------------------------
