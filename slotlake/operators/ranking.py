@@ -38,7 +38,6 @@ class _Bracket:
     inside: int     # low < values < high
     at_high: int    # values = high
     margin: float = 2.0
-    whole: tuple[bool, bool] = (False, False)  # does the next sketch reach either end?
 
     def value_at(self, rank: int):
         if self.low == self.high or rank < self.below + self.at_low:
@@ -81,25 +80,32 @@ def _count_parts(df: DataFrame, columns: Mapping[str, Column], brackets: Sequenc
 
 def _sketch(df: DataFrame, columns: Mapping[str, Column], brackets: Sequence[_Bracket],
             accuracy: int) -> list[_Bracket]:
-    """Narrower candidates for each bracket from one pass of approximate percentiles."""
-    aggregates = []
-    for i, b in enumerate(brackets):
-        c = columns[b.column]
-        inner = F.when((c > F.lit(b.low)) & (c < F.lit(b.high)), c)
-        start = b.below + b.at_low
-        low = (b.first - start) / b.inside - b.margin / accuracy
-        high = (b.last + 1 - start) / b.inside + b.margin / accuracy
-        aggregates += [
-            F.min(inner).alias(f"min{i}"), F.max(inner).alias(f"max{i}"),
-            F.percentile_approx(inner, [min(max(low, 0.0), 1.0), min(max(high, 0.0), 1.0)],
-                                accuracy).alias(f"q{i}"),
-        ]
-        b.whole = (low <= 0.0, high >= 1.0)
+    """Narrower candidates for each bracket from one pass of approximate percentiles.
+
+    Brackets over the same value range share one sketch.
+    """
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.column, b.low, b.high), []).append(b)
+    aggregates, reach = [], {}
+    for i, ((name, low, high), members) in enumerate(shared.items()):
+        c = columns[name]
+        inner = F.when((c > F.lit(low)) & (c < F.lit(high)), c)
+        asked: list[float] = []
+        for b in members:
+            start = b.below + b.at_low
+            lower = (b.first - start) / b.inside - b.margin / accuracy
+            upper = (b.last + 1 - start) / b.inside + b.margin / accuracy
+            reach[id(b)] = (i, len(asked), lower <= 0.0, upper >= 1.0)
+            asked += [min(max(lower, 0.0), 1.0), min(max(upper, 0.0), 1.0)]
+        aggregates += [F.min(inner).alias(f"min{i}"), F.max(inner).alias(f"max{i}"),
+                       F.percentile_approx(inner, asked, accuracy).alias(f"q{i}")]
     row = df.agg(*aggregates).first()
     out = []
-    for i, b in enumerate(brackets):
-        low = row[f"min{i}"] if b.whole[0] else row[f"q{i}"][0]
-        high = row[f"max{i}"] if b.whole[1] else row[f"q{i}"][1]
+    for b in brackets:
+        i, at, from_start, to_end = reach[id(b)]
+        low = row[f"min{i}"] if from_start else row[f"q{i}"][at]
+        high = row[f"max{i}"] if to_end else row[f"q{i}"][at + 1]
         if b.first < b.below + b.at_low:
             low = b.low
         if b.last >= b.below + b.at_low + b.inside:
