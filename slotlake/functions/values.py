@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -15,9 +16,25 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+# digits that a run of pattern letters stands for
+_DIGITS = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "hh": r"\d{2}", "mm": r"\d{2}",
+           "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "h": r"\d{1,2}", "a": "[AaPp][Mm]"}
+
+
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts a date pattern can match at all."""
+    parts = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", pattern)
+    return "^" + "".join(
+        _DIGITS[letter + more] if letter else re.escape(other) for letter, more, other in parts) + "$"
+
+
 def parse_timestamp(text: Column, formats: Sequence[str]) -> Column:
-    """First format that fits, else null."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """First format that fits, else null.
+
+    A format is tried only on texts of its shape: a failing parse costs an exception per row.
+    """
+    return F.coalesce(*[
+        F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
 def replace_values(column: Column, mapping: Mapping[str, str]) -> Column:

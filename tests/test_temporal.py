@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from slotlake.constants import HOLIDAYS_2014
+from slotlake.constants import DATETIME_FORMATS, HOLIDAYS_2014
 from slotlake.functions import temporal, values
 
 
@@ -119,3 +119,13 @@ def test_hash_fraction_is_uniform(spark):
     share = spark.range(20000).select(values.hash_fraction(F.col("id")).alias("x")).agg(
         F.avg((F.col("x") < 0.2).cast("double")), F.min("x"), F.max("x")).first()
     assert abs(share[0] - 0.2) < 0.01 and share[1] >= 0 and share[2] < 1
+
+
+@pytest.mark.parametrize("text, parsed", [
+    ("7/24/2013,,11:30:00,PM", dt.datetime(2013, 7, 24, 23, 30)), ("12/01/2013,,12:05:09,am", dt.datetime(2013, 12, 1, 0, 5, 9)),
+    ("4/1/2012 0:30", dt.datetime(2012, 4, 1, 0, 30)), ("2014-01-31", dt.datetime(2014, 1, 31)),
+    ("2014-01-31 08:09:10", dt.datetime(2014, 1, 31, 8, 9, 10)), ("0000-00-00", None), ("13/45/2012 0:30", None),
+    ("soon", None), (None, None)])
+def test_parse_timestamp(spark, text, parsed):
+    got = one(spark, values.parse_timestamp(F.lit(text).cast("string"), DATETIME_FORMATS).cast("timestamp_ntz"))
+    assert got == parsed
