@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from slotlake import constants as K
 from slotlake.operators import joins, keys, popularity, profile, routing
