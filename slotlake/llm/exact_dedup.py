@@ -42,15 +42,27 @@ def _position(hashed: Column, probe: int, cells: int) -> Column:
     return F.pmod(F.xxhash64(hashed, F.lit(probe)), F.lit(cells)) + 1
 
 
+def _hit(hashes: DataFrame, cells: int) -> DataFrame:
+    return hashes.select(F.explode(F.array(*[_position(F.col("h"), i, cells) for i in range(PROBES)])).alias("cell"))
+
+
+def _bitmaps(cells: DataFrame) -> DataFrame:
+    """Bitmaps of cells, 32,768 of them a row."""
+    return cells.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+
+
 def repeated_cells(hashes: DataFrame, cells: int) -> DataFrame:
-    """First pass. Bitmaps of the cells that were hit more than once, 32,768 cells a row.
+    """First pass. The cells that were hit more than once.
 
     A cell that a third of all rows hit is counted where the rows are before it is shuffled.
     """
-    hit = hashes.select(F.explode(F.array(*[_position(F.col("h"), i, cells) for i in range(PROBES)])).alias("cell"))
-    twice = hit.groupBy("cell").count().where("count > 1")
-    return twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    return _bitmaps(_hit(hashes, cells).groupBy("cell").count().where("count > 1"))
+
+
+def member_cells(hashes: DataFrame, cells: int) -> DataFrame:
+    """The cells that were hit at all."""
+    return _bitmaps(_hit(hashes, cells))
 
 
 def mark_suspects(rows: DataFrame, bitmaps: DataFrame, cells: int) -> DataFrame:
@@ -71,17 +83,27 @@ def _hash(digest: str) -> Column:
     return F.xxhash64(digest)
 
 
-def _marked(rows: DataFrame, hashes: DataFrame, filter_bits: int) -> DataFrame:
-    """``rows`` with ``suspect``; ``hashes`` is the written column ``h`` of the same rows."""
+def _marked(rows: DataFrame, hashes: DataFrame, filter_bits: int, first_pass=repeated_cells) -> DataFrame:
+    """``rows`` with ``suspect``; ``hashes`` is the column ``h`` that the first pass reads."""
     cells, slices = _cells(hashes.count(), filter_bits)
     parts = []
     for s in range(slices):
         mine = F.pmod(F.col("h"), F.lit(slices)) == s if slices > 1 else F.lit(True)
-        bitmaps = freeze(repeated_cells(hashes.where(mine), cells), "repeated_cells")
+        bitmaps = freeze(first_pass(hashes.where(mine), cells), "cells")
         parts.append(mark_suspects(rows.where(mine), bitmaps, cells))
     return reduce(DataFrame.unionByName, parts)
 
 
+def mark_repeated(rows: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """Adds ``suspect``: true for every row whose hash ``h`` other rows have, and for a few others."""
+    return _marked(rows, rows.select("h"), filter_bits)
+
+
+def mark_members(rows: DataFrame, keys: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """Adds ``suspect``: true for every row whose hash ``h`` is one of ``keys``, and for a few others."""
+    return _marked(rows, keys, filter_bits, member_cells)
+
+
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept and text_sha256."""

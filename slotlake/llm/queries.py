@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotlake.llm import byte_bpe, exact_dedup, mixture, token_shards
+from slotlake.llm import (
+    byte_bpe, embedding_dedup, exact_dedup, mixture, pii, secret_scan, simhash, substring_dedup, token_shards, toxicity,
+)
 from slotlake.llm.common import hex_of, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +61,51 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = token_shards.read(spark, path)
     return texts.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                         F.crc32("ids").alias("ids_crc32"))
+
+
+def _spans(spans: str = "spans"):
+    """``kind:start:end`` of an array of spans, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    found = found.withColumn("based", F.filter("spans", lambda s: s["base"]))
+    of = lambda kind: F.size(F.filter("based", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(_spans("based"), 256).alias("base_sha256"), _spans().alias("spans"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(toxicity.training_set(docs, labels.where(~held_out)))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("removed")
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.link(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_report(secret_scan.scan(documents(spark, sf_dir)), secret_scan.BASE_KINDS)
+
+
+@query
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _span_report(pii.find(docs, pii.fit(docs)), pii.BASE_KINDS)
