@@ -430,7 +430,7 @@ def payload_validate(spark, sf):
 
 
 @query("json_payload_emit", f"""
-SELECT request_id, CAST(0 AS BIGINT) AS part,
+SELECT request_id,
        '{{"predictions":{{"columns":["reservation_half_hour","subset"],"index":[' || string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)
        || '],"data":[' || string_agg('[' || coalesce(CAST(s AS VARCHAR), 'null') || ',"' || subset || '"]', ',' ORDER BY event_id) || ']}}}}' AS document
 FROM (SELECT event_id // 8 AS request_id, event_id, subset, CASE WHEN subset <> '_unmatched' THEN slot END AS s FROM ({roles.SLOTTED_SQL}))

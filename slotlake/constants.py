@@ -32,8 +32,15 @@ DATETIME_FORMATS = (
     BOOKING_TIME_FORMAT,
     PROFILE_TIME_FORMAT,
     "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "M/d/yyyy",
+    "yyyy-MM-dd HH:mm:ss.S",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-M-d[ H:mm[:ss]]",
+    "yyyy/M/d[ H:mm[:ss]]",
+    "M/d/yyyy[ H:mm:ss]",
+    "d MMM yyyy",
 )
 
 # --- fixed values: public holidays in Taiwan, 2014 ----------------------------------

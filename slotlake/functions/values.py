@@ -16,16 +16,33 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-# digits that a run of pattern letters stands for
-_DIGITS = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "hh": r"\d{2}", "mm": r"\d{2}",
-           "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "h": r"\d{1,2}", "a": "[AaPp][Mm]"}
+def _run(letter: str, length: int) -> str:
+    """What a run of a pattern letter stands for."""
+    if letter == "S":
+        return rf"\d{{{length}}}"
+    if letter in "ML" and length > 2:
+        return r"\p{L}+\.?"
+    if letter in "yu":
+        return r"\d{4}" if length != 2 else r"\d{2}"
+    if letter == "a":
+        return "[AaPp][Mm]"
+    if letter == "E":
+        return r"\p{L}+\.?"
+    return rf"\d{{{length}}}" if length > 1 else r"\d{1,2}"
 
 
 def _shape(pattern: str) -> str:
-    """Regular expression of the texts a date pattern can match at all."""
-    parts = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", pattern)
-    return "^" + "".join(
-        _DIGITS[letter + more] if letter else re.escape(other) for letter, more, other in parts) + "$"
+    """Regular expression of the texts a date pattern can match at all; brackets hold optional parts."""
+    out = []
+    for m in re.finditer(r"'((?:[^']|'')*)'|(([A-Za-z])\3*)|([^A-Za-z'])", pattern):
+        quoted, letters, other = m[1], m[2], m[4]
+        if letters:
+            out.append(_run(letters[0], len(letters)))
+        elif quoted is not None:
+            out.append(re.escape(quoted.replace("''", "'") or "'"))
+        else:
+            out.append({"[": "(?:", "]": ")?"}.get(other, re.escape(other)))
+    return "^" + "".join(out) + "$"
 
 
 def parse_timestamp(text: Column, formats: Sequence[str]) -> Column:

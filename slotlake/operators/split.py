@@ -23,21 +23,20 @@ def split_random(df: DataFrame, key: str, test_size: float = 0.2) -> tuple[DataF
 
 
 def temporal_cut(df: DataFrame, datetime: str, key: str, test_size: float = 0.2) -> Column | None:
-    """Condition that is true for the last ``ceil(test_size * n)`` rows by time.
-
-    ``key`` is numeric and orders rows of the same time. The cut is one time and, among the
+    """Condition that is true for the last ``ceil(test_size * n)`` rows by time; rows without a
+    time come last. ``key`` is numeric and orders rows of the same time. The cut is one time and, among the
     rows of that very time, one key, both found without sorting the table.
     """
-    time = epoch_micros(F.col(datetime))
-    dated = df.filter(F.col(datetime).isNotNull())
-    n = dated.count()
+    given = epoch_micros(F.col(datetime))
+    n, latest = df.agg(F.count("*"), F.max(given)).first()
+    time = F.coalesce(given, F.lit((latest or 0) + 1))
     n_test = math.ceil(test_size * n)
     if n_test == 0:
         return None
     first = n - n_test
-    cut = order_statistics(dated, {"t": time}, {"t": [(first, first)]})["t"][0][0]
-    earlier = dated.filter(time < F.lit(cut)).count()
-    ties = dated.filter(time == F.lit(cut))
+    cut = order_statistics(df, {"t": time}, {"t": [(first, first)]})["t"][0][0]
+    earlier = df.filter(time < F.lit(cut)).count()
+    ties = df.filter(time == F.lit(cut))
     place = first - earlier
     if place == 0:
         return time >= F.lit(cut)
@@ -47,7 +46,7 @@ def temporal_cut(df: DataFrame, datetime: str, key: str, test_size: float = 0.2)
 
 def split_temporal(df: DataFrame, datetime: str, key: str,
                    test_size: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """The last share of the rows by time is the test set; rows without a time are left out."""
+    """The last share of the rows by time is the test set; rows without a time count as the latest."""
     condition = temporal_cut(df, datetime, key, test_size)
     if condition is None:
         return df, df.limit(0)

@@ -15,10 +15,10 @@ from slotlake import constants as K
 from slotlake.config import MEAL_BANDS, ROUTING_COLUMN, Band
 from slotlake.functions.temporal import slot_time_range
 from slotlake.operators import routing
-from slotlake.operators.cleaning import apply_fill_values, fit_fill_values
+from slotlake.operators.cleaning import apply_fill_values, fit_fill_values, numeric_columns
 from slotlake.plans.training import BandModel, SlotModel
 from slotlake.schema import BOOKING_RECORD
-from slotlake.session import new_path
+from slotlake.session import freeze, new_path
 from slotlake.sources import payload as payloads
 
 
@@ -139,8 +139,7 @@ def score_rows(df: DataFrame, bundle: Bundle, keys: Sequence[str], stage: bool =
 def run_inference(df: DataFrame, bundle: Bundle, keys: Sequence[str],
                   fill: Mapping[str, float] | None = None) -> DataFrame:
     """Fill numbers with the batch median, or with ``fill`` kept from training, then score."""
-    columns = [c for c in df.columns if c not in keys and c != ROUTING_COLUMN]
-    numeric = [c for c, t in df.dtypes if c in columns and t in ("int", "bigint", "double", "float")]
+    numeric = [c for c in numeric_columns(df) if c not in keys and c != ROUTING_COLUMN]
     values = fill if fill is not None else fit_fill_values(df, "median", numeric)
     return score_rows(apply_fill_values(df, values), bundle, keys)
 
@@ -151,9 +150,11 @@ def score_payloads(requests: DataFrame, bundle: Bundle) -> tuple[DataFrame, Data
     has_route = F.array_contains("columns", F.lit(ROUTING_COLUMN))
     checked = parsed.withColumn("problem", F.coalesce(
         "problem", F.when(~F.coalesce(has_route, F.lit(False)), "no routing column")))
-    rows = payloads.payload_rows(checked.filter("problem is null"), BOOKING_RECORD)
-    scored = score_rows(rows, bundle, ["request_id", "position", "row_label"])
-    return payloads.emit_payloads(scored), checked.filter("problem is not null").select("request_id", "problem")
+    # parsed once; answers and rejections read what was written
+    checked = freeze(checked.select("request_id", "columns", "index", "data", "problem"), "requests")
+    sound = checked.filter("problem is null")
+    scored = score_rows(payloads.payload_rows(sound, BOOKING_RECORD), bundle, ["request_id", "position", "row_label"])
+    return payloads.emit_payloads(scored, requests=sound), checked.filter("problem is not null").select("request_id", "problem")
 
 
 def score_most_frequent(df: DataFrame, baseline: DataFrame, keys: Sequence[str],

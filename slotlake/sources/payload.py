@@ -13,7 +13,6 @@ from slotlake import constants as K
 PAYLOAD = (
     "input_data struct<columns: array<string>, index: array<bigint>, data: array<array<string>>>"
 )
-ROWS_PER_DOCUMENT = 10_000
 
 
 def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
@@ -32,16 +31,21 @@ def _named_columns(columns: Column, names: Sequence[str]) -> Column:
 
 def parse_payloads(df: DataFrame, payload: str = "payload",
                    names: Sequence[str] = K.PAYLOAD_COLUMNS) -> DataFrame:
-    """Add ``columns``, ``index``, ``data`` and ``problem``, null where the document is sound."""
-    parsed = df.withColumn("_doc", F.from_json(payload, PAYLOAD)["input_data"]).select(
+    """Add ``columns``, ``index``, ``data`` and ``problem``, null where the document is sound.
+
+    Exploding an array of one keeps the optimizer from parsing once more for every use.
+    """
+    parsed = df.select(*df.columns, F.explode(F.array(F.from_json(payload, PAYLOAD))).alias("_doc")).select(
+        *df.columns, F.col("_doc.input_data").alias("_doc")).select(
         *df.columns,
         _named_columns(F.col("_doc.columns"), names).alias("columns"),
         F.col("_doc.index").alias("index"), F.col("_doc.data").alias("data"))
     width = F.size("columns")
     problem = (
         F.when(F.col("columns").isNull() | F.col("data").isNull(), "unreadable")
+        .when(F.exists("columns", lambda c: c.isNull()), "column position")
         .when(F.col("index").isNotNull() & (F.size("index") != F.size("data")), "index length")
-        .when(~F.forall("data", lambda row: F.size(row) == width), "row width")
+        .when(~F.forall("data", lambda row: F.coalesce(F.size(row) == width, F.lit(False))), "row width")
     )
     return parsed.withColumn("problem", problem)
 
@@ -75,23 +79,23 @@ def json_array(columns: Sequence[str]) -> Column:
 
 def emit_payloads(df: DataFrame, columns: Sequence[str] = K.PREDICTION_COLUMNS,
                   request: str = "request_id", position: str = "position", label: str = "row_label",
-                  block: str = "predictions", rows_per_document: int = ROWS_PER_DOCUMENT) -> DataFrame:
-    """Documents with ``columns``, ``index`` and ``data`` in the order of the request.
+                  block: str = "predictions", requests: DataFrame | None = None) -> DataFrame:
+    """One document per request, with ``columns``, ``index`` and ``data`` in the order of the request.
 
-    A request of any size is cut by position into parts of ``rows_per_document`` rows, so no
-    task ever gathers more than that.
+    A request is one cell of a table, so its answer is bounded by it. ``requests`` names all
+    requests to answer; one without rows gets a document without rows.
     """
-    part = F.floor(F.col(position) / rows_per_document).cast("bigint").alias("part")
     entry = F.struct(F.col(position).alias("p"), F.col(label).alias("i"), json_array(columns).alias("r"))
     names = F.concat(F.lit("["), F.lit(",".join(f'"{c}"' for c in columns)), F.lit("]"))
+    answers = df.groupBy(request).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    if requests is not None:
+        answers = requests.select(request).join(answers, request, "left").withColumn(
+            "_rows", F.coalesce("_rows", F.array().cast(answers.schema["_rows"].dataType)))
     body = F.concat(
         F.lit(f'{{"{block}":{{"columns":'), names,
         F.lit(',"index":['), F.array_join(F.transform("_rows", lambda x: x["i"].cast("string")), ","),
         F.lit('],"data":['), F.array_join(F.transform("_rows", lambda x: x["r"]), ","), F.lit("]}}"))
-    return (
-        df.groupBy(request, part).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
-        .select(request, "part", body.alias("document"))
-    )
+    return answers.select(request, body.alias("document"))
 
 
 def validate_records(df: DataFrame, schema: T.StructType) -> DataFrame:

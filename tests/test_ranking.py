@@ -85,3 +85,12 @@ def test_random_split_ignores_partitioning(spark):
     a = {r["id"] for r in split.split_random(df.repartition(7), "id")[1].collect()}
     b = {r["id"] for r in split.split_random(df.coalesce(1), "id")[1].collect()}
     assert a == b and 320 < len(a) < 480
+
+
+def test_rows_without_a_time_are_the_latest(spark):
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 10 <> 3 THEN timestamp_seconds(id) END AS t")
+    train, test = split.split_temporal(df, "t", "id", 0.2)
+    assert train.count() == 80 and test.count() == 20
+    assert test.filter("t IS NULL").count() == 10 and train.filter("t IS NULL").count() == 0
+    train, test = split.split_temporal(df, "t", "id", 0.05)
+    assert [r["id"] for r in test.orderBy("id").collect()] == [53, 63, 73, 83, 93] and train.count() == 95

@@ -57,7 +57,7 @@ def send(spark, bundle, data, columns=None):
     body = json.dumps({"input_data": {"columns": columns, "index": list(range(len(data))), "data": data}})
     requests = spark.createDataFrame([("r", body)], "request_id string, payload string")
     documents, rejected = scoring.score_payloads(requests, bundle)
-    out = [json.loads(r["document"])["predictions"] for r in documents.orderBy("part").collect()]
+    out = [json.loads(r["document"])["predictions"] for r in documents.collect()]
     return out, [r["problem"] for r in rejected.collect()]
 
 

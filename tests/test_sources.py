@@ -45,13 +45,15 @@ def requests(spark):
         ("positions", request([18, 0, 1], None, [[19, 2, "a"]])),
         ("ragged", request(["a", "b"], [0], [[1]])),
         ("index", request(["a"], [0, 1], [[1]])),
-        ("broken", "{not json"),
+        ("broken", "{not json"), ("position", request([18, 99], [0], [[19, 2]])), ("null row", request(["a"], [0, 1], [[1], None])),
+        ("empty", request(["a"], [], [])),
     ], "request_id string, payload string")
 
 
 def test_payload_validation(requests):
     got = {r["request_id"]: r["problem"] for r in payload.parse_payloads(requests).collect()}
-    assert got == {"names": None, "positions": None, "ragged": "row width", "index": "index length", "broken": "unreadable"}
+    assert got == {"names": None, "positions": None, "ragged": "row width", "index": "index length", "broken": "unreadable",
+                   "position": "column position", "null row": "row width", "empty": None}
 
 
 def test_payload_rows(requests):
@@ -61,7 +63,7 @@ def test_payload_rows(requests):
     assert got[("names", 7)]["lat"] == 25.05 and got[("names", 7)]["party_size"] is None
     assert got[("names", 9)]["reservation_hour"] is None
     assert got[("positions", 0)]["reservation_hour"] == 19 and got[("positions", 0)]["party_size"] == 2
-    assert rejected.count() == 3
+    assert rejected.count() == 5
 
 
 def test_emitted_documents(spark):
@@ -70,8 +72,13 @@ def test_emitted_documents(spark):
     whole = payload.emit_payloads(df, ["slot", "text", "p"]).collect()
     assert json.loads(whole[0]["document"]) == {"predictions": {
         "columns": ["slot", "text", "p"], "index": [10, 11, 12], "data": [[39, None, None], [None, 'say "hi"', 0.5], [1, "x", 1.0]]}}
-    parts = payload.emit_payloads(df, ["slot"], rows_per_document=2).orderBy("part").collect()
-    assert [json.loads(r["document"])["predictions"]["index"] for r in parts] == [[10, 11], [12]]
+
+
+def test_every_request_is_answered_once(spark):
+    many = spark.range(10_001).selectExpr("'long' AS request_id", "id AS position", "id AS row_label", "id % 48 AS slot")
+    asked = spark.createDataFrame([("long",), ("empty",)], "request_id string")
+    got = {r["request_id"]: json.loads(r["document"])["predictions"] for r in payload.emit_payloads(many, ["slot"], requests=asked).collect()}
+    assert got["long"]["index"] == list(range(10_001)) and got["empty"] == {"columns": ["slot"], "index": [], "data": []}
 
 
 def test_record_validation(spark):
