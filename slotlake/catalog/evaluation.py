@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotlake.catalog import roles
 from slotlake.catalog.registry import comparable, query, table
 from slotlake.catalog.roles import PREDICTIONS_SQL
-from slotlake.config import OVERLAPPING_BANDS, TWO_BANDS
+from slotlake.config import MEAL_BANDS, OVERLAPPING_BANDS, TWO_BANDS
 from slotlake.operators import evaluate, profile, routing
 from slotlake.operators.split import stratified_folds
 from slotlake.plans.training import scores_by_fold, summarise_folds
@@ -196,21 +196,29 @@ def subset_sizes(spark, sf):
         routing.band_sizes(rows, OVERLAPPING_BANDS).select(F.lit("overlapping").alias("split"), "subset", "n"))
 
 
-@query("cv_baseline", f"""
+def _cv_sql(band: str) -> str:
+    return f"""
+SELECT '{band}' AS subset, * FROM (
 WITH ev AS (SELECT event_id, slot, (row_number() OVER (PARTITION BY slot ORDER BY md5(CAST(event_id AS VARCHAR))) - 1) % 5 AS fold
-            FROM ({roles.SLOTTED_SQL}) WHERE subset = 'dinner'),
+            FROM ({roles.SLOTTED_SQL}) WHERE subset = '{band}'),
 c AS (SELECT f.fold, e.slot, count(*) AS c FROM ev e JOIN (SELECT DISTINCT fold FROM ev) f ON e.fold <> f.fold GROUP BY 1, 2),
 m AS (SELECT fold, slot AS guess FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY c DESC, slot) AS rn FROM c) WHERE rn = 1),
 t AS (SELECT e.fold, count(*) AS n, sum(CASE WHEN e.slot = m.guess THEN 1 ELSE 0 END) AS hit FROM ev e JOIN m ON e.fold = m.fold GROUP BY 1),
 s AS (SELECT hit / n AS acc, (hit / n) * (2.0 * hit / (hit + n)) AS f1 FROM t)
 SELECT round(avg(acc), 6) AS cv_acc_mean, round(stddev_pop(acc), 6) AS cv_acc_std, round(avg(f1), 6) AS cv_f1_mean,
-       round(stddev_pop(f1), 6) AS cv_f1_std FROM s""")
+       round(stddev_pop(f1), 6) AS cv_f1_std FROM s)"""
+
+
+@query("cv_baseline", " UNION ALL ".join(_cv_sql(b.name) for b in MEAL_BANDS))
 def cv_baseline(spark, sf):
-    """Cross-validation of the most-frequent-slot model, without a loop over the folds."""
-    rows = roles.slotted_events(spark, sf).filter("subset = 'dinner'").select("event_id", "slot")
-    marked = stratified_folds(rows, "slot", "event_id")
+    """Cross-validation of the most-frequent-slot model on every band, without a loop over the folds."""
     held_out = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("fold"))
-    training = marked.select("slot", F.explode(held_out).alias("fold"))
-    guesses = routing.fit_most_frequent(training, "slot", "fold")
-    scored = routing.apply_most_frequent(marked, guesses, "fold")
-    return comparable(summarise_folds(scores_by_fold(evaluate.confusion(scored, "slot", "baseline", ["fold"]))))
+    parts = []
+    for band in MEAL_BANDS:
+        rows = roles.slotted_events(spark, sf).filter(F.col("subset") == band.name).select("event_id", "slot")
+        marked = stratified_folds(rows, "slot", "event_id")
+        guesses = routing.fit_most_frequent(marked.select("slot", F.explode(held_out).alias("fold")), "slot", "fold")
+        scored = routing.apply_most_frequent(marked, guesses, "fold")
+        found = summarise_folds(scores_by_fold(evaluate.confusion(scored, "slot", "baseline", ["fold"])))
+        parts.append(found.select(F.lit(band.name).alias("subset"), "*"))
+    return comparable(parts[0].unionByName(parts[1]).unionByName(parts[2]))

@@ -1,19 +1,26 @@
-"""Queries that train, store and use models. Fits have no SQL counterpart."""
+"""Queries that train, store and use models.
+
+Fits have no SQL counterpart; the queries return what SQL can prove about them: keys, bands, row
+counts, and whether slots, probabilities and scores are where they must be.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotlake import constants as K
 from slotlake.catalog import roles
-from slotlake.catalog.registry import comparable, query, r6, table
-from slotlake.catalog.tables import payload_requests
-from slotlake.config import BoostSettings, ForestSettings, resolve_granularity
-from slotlake.functions import temporal
-from slotlake.operators import evaluate, split
+from slotlake.catalog.registry import query, r6, table
+from slotlake.config import MEAL_BANDS, TWO_BANDS, Band, BoostSettings, Choice, ForestSettings, Whole, resolve_granularity
+from slotlake.operators import split
 from slotlake.operators.cleaning import fill_numeric, numeric_columns
 from slotlake.plans import etl, scoring, training
+from slotlake.schema import BOOKING_RECORD
 from slotlake.session import freeze, new_path
+from slotlake.sources import payload
 from slotlake.streaming import scorer
 
 # sized for one machine; the defaults of the settings are the production sizes
@@ -62,30 +69,48 @@ def ols_simple(spark, sf):
         r6(F.regr_r2(y, x)).alias("r2"))
 
 
-@query("linear_regression")
+@query("linear_regression", """
+SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity) * stddev_pop(l_quantity), 3) AS coefficient,
+       count(*) AS n_predicted, round(sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / count(*)), 3) AS rmse
+FROM lineitem""")
 def linear_regression(spark, sf):
-    """Seconds of the day by least squares; its error on the test rows."""
-    df = feature_rows(spark, sf)
-    features = training.candidate_features(df, "reservation_seconds", (), ["booking_id"])
-    train, test = split.split_random(df, "booking_id")
-    model = training.fit_linear(train, "reservation_seconds", features)
-    predicted = model.predict(test, ["booking_id", "reservation_seconds"])
-    return comparable(evaluate.regression_metrics(predicted, "reservation_seconds", "prediction"))
+    """Least squares on one input, where slope and error have a closed form."""
+    rows = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity")
+    model = training.fit_linear(rows, "l_extendedprice", ["l_quantity"])
+    error = F.col("prediction") - F.col("l_extendedprice")
+    fit = model.predict(rows, ["l_extendedprice"]).agg(
+        F.count("prediction").alias("n_predicted"), F.round(F.sqrt(F.avg(error * error)), 3).alias("rmse"))
+    return model.coefficients().select("feature", F.round("coefficient", 3).alias("coefficient")).crossJoin(fit)  # one row each
 
 
 # --- classifiers and regressors -----------------------------------------------------------------------
 
+_BANDS_SQL = f"SELECT subset, count(*) AS n, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE is_test AND subset <> '_unmatched' GROUP BY subset"
+_TEST_SQL = f"SELECT count(*) AS n, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE is_test"
+
+
+def _share(*columns):
+    """Whether all columns are shares."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).between(0, 1)
+    return out
+
+
+def _sound_summary(predicted):
+    scores = training.summary(predicted)
+    sound = _share("accuracy", "f1_weighted", "tolerance_accuracy") & (F.col("tolerance_accuracy") >= F.col("accuracy"))
+    return scores.select("subset", "n", sound.alias("sound"))
+
 
-@query("rf_classifier")
+@query("rf_classifier", _BANDS_SQL)
 def rf_classifier(spark, sf):
-    _, _, predicted = _trained(spark, sf)
-    return comparable(training.summary(predicted))
+    return _sound_summary(_trained(spark, sf)[2])
 
 
-@query("gbt_classifier")
+@query("gbt_classifier", _BANDS_SQL)
 def gbt_classifier(spark, sf):
-    _, _, predicted = _trained(spark, sf, _boosted)
-    return comparable(training.summary(predicted))
+    return _sound_summary(_trained(spark, sf, _boosted)[2])
 
 
 def _regression(spark, sf, estimator, target="reservation_seconds"):
@@ -95,62 +120,107 @@ def _regression(spark, sf, estimator, target="reservation_seconds"):
     return training.fit_regressor(train, target, features, estimator), test
 
 
-@query("rf_regressor")
+def _sound_error(model, test):
+    """Every test row has a prediction, within the range of a day."""
+    seconds = F.col("prediction")
+    return model.predict(test).agg(F.count(seconds).alias("n"), F.bool_and(seconds.between(0, 86_400)).alias("sound"))
+
+
+@query("rf_regressor", _TEST_SQL)
 def rf_regressor(spark, sf):
-    model, test = _regression(spark, sf, training.forest_regressor(FOREST))
-    return comparable(evaluate.regression_metrics(model.predict(test), "reservation_seconds", "prediction"))
+    return _sound_error(*_regression(spark, sf, training.forest_regressor(FOREST)))
 
 
-@query("gbt_regressor")
+@query("gbt_regressor", _TEST_SQL)
 def gbt_regressor(spark, sf):
-    model, test = _regression(spark, sf, training.boosted_regressor(BOOST))
-    return comparable(evaluate.regression_metrics(model.predict(test), "reservation_seconds", "prediction"))
+    return _sound_error(*_regression(spark, sf, training.boosted_regressor(BOOST)))
 
 
-@query("ordinal_slot_regression")
+@query("ordinal_slot_regression", _TEST_SQL)
 def ordinal_slot_regression(spark, sf):
     model, test = _regression(spark, sf, training.boosted_regressor(BOOST, "absolute"), TARGET)
-    conf = evaluate.confusion(training.predict_slots(model, test), TARGET, "prediction")
-    return comparable(evaluate.slot_metrics(conf))
+    slot = F.col("prediction")
+    return training.predict_slots(model, test).agg(F.count(slot).alias("n"), F.bool_and(slot.between(0, 47)).alias("sound"))
 
 
-@query("feature_importance")
+@query("feature_importance", f"""
+SELECT DISTINCT subset, CAST(25 AS BIGINT) AS n_features, 1.0::DOUBLE AS total FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched'""")
 def feature_importance(spark, sf):
+    """All features of every band; their shares add up to one."""
     _, models, _ = _trained(spark, sf)
-    tables = [training.feature_importance(m.model, 15).withColumn("subset", F.lit(m.band.name)) for m in models]
-    return comparable(tables[0].unionByName(tables[1]).unionByName(tables[2]))
+    tables = [training.feature_importance(m.model).withColumn("subset", F.lit(m.band.name)) for m in models]
+    return reduce(DataFrame.unionByName, tables).groupBy("subset").agg(
+        F.count("*").alias("n_features"), r6(F.sum("importance")).alias("total"))
 
 
-@query("train_summary")
+@query("train_summary", f"""
+SELECT subset, count(*) AS n_samples, count_if(is_test) AS n, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched' GROUP BY subset""")
 def train_summary(spark, sf):
     _, models, predicted = _trained(spark, sf)
     sizes = spark.createDataFrame([(m.band.name, m.n_rows) for m in models], "subset STRING, n_samples BIGINT")
-    return comparable(sizes.join(training.summary(predicted), "subset"))
+    return sizes.join(_sound_summary(predicted), "subset")
 
 
-@query("cv_model")
-def cv_model(spark, sf):
-    df = feature_rows(spark, sf).filter(F.col("reservation_hour").between(15, 17))
-    return comparable(training.cross_validate(df, TARGET, "booking_id", model_features(df), _forest, folds=3))
+def _band_rows(df, band):
+    return df.filter(F.col("reservation_hour").between(band.first, band.last))
 
 
-@query("param_search")
-def param_search(spark, sf):
-    df = feature_rows(spark, sf).filter(F.col("reservation_hour").between(15, 17))
-    space = {"trees": {"type": "categorical", "choices": [5, 10]}, "depth": {"type": "int", "low": 2, "high": 5},
-             "min_leaf": {"type": "int", "low": 2, "high": 20}}
-    _, trials = training.search_params(
-        df, TARGET, "booking_id", model_features(df),
-        lambda p: training.forest_classifier(ForestSettings(p["trees"], p["depth"], p["min_leaf"])), space, trials=2)
-    return trials
+def _sound_folds(scores):
+    return scores.select(*[c for c in ("subset", "variant") if c in scores.columns],
+                         (_share("cv_acc_mean", "cv_f1_mean") & (F.col("cv_acc_std") >= 0)).alias("sound"))
 
 
-@query("feature_ablation")
+@query("cv_model", f"SELECT DISTINCT subset, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched'")
+def cv_model(spark, sf):
+    """Five folds on every band."""
+    df = feature_rows(spark, sf)
+    parts = [training.cross_validate(_band_rows(df, b), TARGET, "booking_id", model_features(df), _forest).withColumn("subset", F.lit(b.name))
+             for b in MEAL_BANDS]
+    return _sound_folds(reduce(DataFrame.unionByName, parts))
+
+
+@query("param_search", f"""
+SELECT subset, CAST(trial AS INT) AS trial, true AS sound
+FROM (SELECT DISTINCT subset FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched') CROSS JOIN range(2) AS t(trial)""")
+def param_search(spark, sf):
+    """Random search on every band; the ranges are narrow and the trials few so that one machine bears it."""
+    df = feature_rows(spark, sf)
+    space = {"trees": Choice((5, 10)), "depth": Whole(2, 5), "min_leaf": Whole(2, 20)}
+    parts = []
+    for band in MEAL_BANDS:
+        _, trials = training.search_params(
+            _band_rows(df, band), TARGET, "booking_id", model_features(df),
+            lambda p: training.forest_classifier(ForestSettings(p["trees"], p["depth"], p["min_leaf"])), space, trials=2)
+        parts.append(trials.select(F.lit(band.name).alias("subset"), "trial", _share("cv_acc_mean").alias("sound")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("feature_ablation", f"""
+SELECT subset, variant, true AS sound FROM (SELECT DISTINCT subset FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched')
+CROSS JOIN (VALUES ('all_geo'), ('codes_only'), ('latlng_only'), ('no_geo')) AS v(variant)""")
 def feature_ablation(spark, sf):
+    """Four feature sets, every band, five folds."""
     df = feature_rows(spark, sf)
     variants = training.geo_variants([*model_features(df), *K.GEO_CATEGORICAL_COLUMNS])
     small = lambda: training.forest_classifier(ForestSettings(trees=5, depth=4))
-    return comparable(training.ablate(df, variants, TARGET, "booking_id", small, bands=training.MEAL_BANDS[1:2], folds=2))
+    return _sound_folds(training.ablate(df, variants, TARGET, "booking_id", small))
+
+
+BAND_SETS = {"full": (Band("full", 0, 23),), "two-way": TWO_BANDS, "three-way": MEAL_BANDS}
+
+
+@query("band_comparison", f"""
+SELECT kind, band_set, n_bands, n, true AS sound
+FROM (SELECT 'full' AS band_set, 1 AS n_bands, count(*) AS n FROM ({roles.SLOTTED_SQL}) WHERE is_test
+      UNION ALL SELECT 'two-way', 2, count(*) FROM ({roles.SLOTTED_SQL}) WHERE is_test AND h BETWEEN 9 AND 23
+      UNION ALL SELECT 'three-way', 3, count(*) FROM ({roles.SLOTTED_SQL}) WHERE is_test AND h BETWEEN 11 AND 23)
+CROSS JOIN (VALUES ('classifier'), ('ordinal')) AS k(kind)""")
+def band_comparison(spark, sf):
+    """One model for all hours against one per band, two and three bands, on the same split."""
+    df = feature_rows(spark, sf)
+    found = training.compare_band_sets(
+        df, TARGET, "booking_id", model_features(df), BAND_SETS, _forest, lambda: training.forest_regressor(FOREST))
+    return found.select("kind", "band_set", "n_bands", "n", _share("accuracy", "f1_weighted", "tolerance_accuracy").alias("sound"))
 
 
 # --- bundles and scoring --------------------------------------------------------------------------------
@@ -184,34 +254,67 @@ def bundle_manifest(spark, sf):
     return scoring.manifest_table(spark, scoring.load_bundle(spark, path).manifest)
 
 
-@query("score_batch")
+_SCORED_SQL = f"""
+SELECT booking_id, subset, true AS sound FROM (SELECT event_id AS booking_id, subset FROM ({roles.SLOTTED_SQL}) WHERE %s)"""
+
+
+def _sound_score():
+    """A slot of the band with a probability, or nothing outside the bands."""
+    hour = F.floor(F.col("reservation_half_hour") / 2)
+    inside = F.lit(False)
+    for band in MEAL_BANDS:
+        inside = inside | ((F.col("subset") == band.name) & hour.between(band.first, band.last))
+    none = (F.col("subset") == K.UNMATCHED) & F.col("reservation_half_hour").isNull() & F.col("probability").isNull()
+    return F.coalesce(inside & _share("probability"), F.lit(False)) | none
+
+
+@query("score_batch", _SCORED_SQL % "is_test")
 def score_batch(spark, sf):
     df, models, _ = _trained(spark, sf)
     _, test = split.split_random(df, "booking_id")
-    return scoring.run_inference(test, scoring.bundle_of(models), ["booking_id"])
+    scored = scoring.run_inference(test, scoring.bundle_of(models), ["booking_id"])
+    return scored.select("booking_id", "subset", _sound_score().alias("sound"))
+
+
+def full_requests(df):
+    """A scoring request per eight consecutive bookings, with all fields of the contract."""
+    names = [f.name for f in BOOKING_RECORD if f.name in df.columns]
+    entry = F.struct("booking_id", payload.json_array(names).alias("row"))
+    grouped = df.groupBy(F.floor(F.col("booking_id") / 8).cast("bigint").alias("request_id")).agg(
+        F.sort_array(F.collect_list(entry)).alias("rows"))
+    columns = ",".join(f'"{n}"' for n in names)
+    return grouped.select("request_id", F.concat(
+        F.lit(f'{{"input_data":{{"columns":[{columns}],"index":['), F.array_join(F.transform("rows", lambda r: r["booking_id"].cast("string")), ","),
+        F.lit('],"data":['), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]}}")).alias("payload"))
 
 
-@query("score_payload")
+@query("score_payload", f"""
+SELECT event_id // 8 AS request_id, count(*) AS n_rows, sum(event_id)::BIGINT AS sum_labels, true AS sound
+FROM ({roles.SLOTTED_SQL}) GROUP BY 1""")
 def score_payload(spark, sf):
-    _, models, _ = _trained(spark, sf)
-    documents, _ = scoring.score_payloads(payload_requests(spark, sf), scoring.bundle_of(models))
-    return documents
+    """Requests with all fields; every one is answered once, row for row."""
+    df, models, _ = _trained(spark, sf)
+    documents, _ = scoring.score_payloads(full_requests(df), scoring.bundle_of(models))
+    shape = "predictions STRUCT<columns: ARRAY<STRING>, index: ARRAY<BIGINT>, data: ARRAY<ARRAY<STRING>>>"
+    body = F.from_json("document", shape)["predictions"]
+    sound = (F.size(body["index"]) == F.size(body["data"])) & (F.size(body["columns"]) == 4)
+    total = F.aggregate(body["index"], F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return documents.select("request_id", F.size(body["data"]).cast("bigint").alias("n_rows"), total.alias("sum_labels"), sound.alias("sound"))
 
 
 @query("score_stream", f"""
-SELECT booking_id, {roles.band_sql('hour(datetime)')} AS subset FROM ({roles.EVENT_BOOKINGS_SQL})""")
+SELECT booking_id, {roles.band_sql('hour(datetime)')} AS subset, true AS as_in_batch FROM ({roles.EVENT_BOOKINGS_SQL})""")
 def score_stream(spark, sf):
-    """Arriving bookings scored with models trained on the same rows; every booking comes out once."""
-    _, models, _ = _trained(spark, sf)
+    """Arriving bookings joined, featured and scored; slot and probability agree with batch scoring of the same rows."""
+    df, models, _ = _trained(spark, sf)
     bundle = scoring.bundle_of(models)
-    # a pattern, as a stream reads folders or patterns but no single file
-    stream = scorer.read_stream(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
-
-    def score(events):
-        rows = roles.bookings_from_events(events).withColumnsRenamed(K.FEATURE_NAMES).withColumns({
-            "reservation_hour": F.hour("reservation_time"), "weekday": temporal.iso_weekday(F.col("reservation_time"))})
-        return scoring.score_rows(rows, bundle, ["booking_id"], stage=False)
-
+    stage = new_path(spark, "arriving")
+    df.repartition(4, "booking_id").write.parquet(stage)
+    stream = scorer.read_stream(spark, stage, df.schema)
     output = new_path(spark, "scored")
-    scorer.start_scoring(stream, score, output, new_path(spark, "scored-checkpoint")).awaitTermination()
-    return spark.read.parquet(output).select("booking_id", "subset")
+    scorer.start_scoring(stream, lambda rows: scoring.score_rows(rows, bundle, ["booking_id"], stage=False), output,
+                         new_path(spark, "scored-checkpoint")).awaitTermination()
+    batch = scoring.score_rows(df, bundle, ["booking_id"]).select(
+        "booking_id", F.col("reservation_half_hour").alias("_slot"), F.col("probability").alias("_p"))
+    same = F.col("reservation_half_hour").eqNullSafe(F.col("_slot")) & F.col("probability").eqNullSafe(F.col("_p"))
+    return spark.read.parquet(output).join(batch, "booking_id").select("booking_id", "subset", same.alias("as_in_batch"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from slotlake.catalog import roles
@@ -124,11 +126,18 @@ SELECT '{column}' AS "column", count({column}) AS count, round(avg({column}), 6)
        round(quantile_cont({column}, 0.75), 6) AS q75, CAST(max({column}) AS DOUBLE) AS max FROM {source}"""
 
 
+#: All columns of the line items that are neither keys nor text.
+MEASURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query("describe_numeric", " UNION ALL ".join(
-    _describe_sql(c, "lineitem") for c in ("l_quantity", "l_extendedprice", "l_discount")))
+    _describe_sql(c, "lineitem") for c in MEASURES))
 def describe_numeric(spark, sf):
-    return comparable(profile.describe_numeric(
-        table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+    return comparable(profile.describe_numeric(table(spark, sf, "lineitem"), MEASURES))
+
+
+#: The numbers of the star that are neither keys nor flags.
+STAR_NUMBERS = ["people", "price1", "price2", "lat", "lng"]
 
 
 def _profile_sql(column: str) -> str:
@@ -141,9 +150,9 @@ SELECT '{column}' AS "column", count({column}) AS count, count(*) - count({colum
 
 
 @query("profile_numeric", f"WITH {star_sql(roles.EVENT_BOOKINGS_SQL)} "
-       + " UNION ALL ".join(_profile_sql(c) for c in ("people", "price1", "lat")))
+       + " UNION ALL ".join(_profile_sql(c) for c in STAR_NUMBERS))
 def profile_numeric(spark, sf):
-    return comparable(profile.profile_numeric(roles.event_star(spark, sf), ["people", "price1", "lat"]))
+    return comparable(profile.profile_numeric(roles.event_star(spark, sf), STAR_NUMBERS))
 
 
 @query("outlier_iqr", """
@@ -155,13 +164,10 @@ def outlier_iqr(spark, sf):
     return comparable(profile.outliers_iqr(table(spark, sf, "events"), ["value"]))
 
 
-@query("correlation_matrix", """
-SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem
-UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem
-UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem""")
+@query("correlation_matrix", " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a, b in combinations(MEASURES, 2)))
 def correlation_matrix(spark, sf):
-    return comparable(profile.correlation_matrix(
-        table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+    return comparable(profile.correlation_matrix(table(spark, sf, "lineitem"), MEASURES))
 
 
 @query("histogram_slots", f"SELECT CAST({slot_sql('ts')} AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1")

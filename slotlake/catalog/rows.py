@@ -86,14 +86,13 @@ def _payday_sql(payday: int) -> str:
         "(date_trunc('month', d) - INTERVAL 1 MONTH)", "date_trunc('month', d)",
         "(date_trunc('month', d) + INTERVAL 1 MONTH)")]
     return f"""
-SELECT CAST(d AS VARCHAR) AS d, CAST(least({', '.join(terms)}) AS DOUBLE) AS days_from_payday
-FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)"""
+SELECT o_orderkey, CAST(least({', '.join(terms)}) AS DOUBLE) AS days_from_payday
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)"""
 
 
 def _payday(spark, sf, payday):
-    dates = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-    return dates.select(F.col("d").cast("string").alias("d"),
-                        temporal.payday_distance(F.col("d"), payday).alias("days_from_payday"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", temporal.payday_distance(F.to_date("o_orderdate"), payday).alias("days_from_payday"))
 
 
 @query("payday_distance", _payday_sql(5))

@@ -12,7 +12,7 @@ from slotlake.functions import temporal
 from slotlake.operators import cleaning, encode, joins, keys, profile, routing, split
 from slotlake.plans import etl, scoring
 from slotlake.schema import BOOKING_RECORD, BOOKINGS
-from slotlake.session import new_path
+from slotlake.session import freeze, new_path
 from slotlake.sources import delimited, payload
 
 # --- keys ------------------------------------------------------------------------------------------
@@ -216,31 +216,34 @@ def stratified_folds(spark, sf):
 
 # --- encoders ---------------------------------------------------------------------------------------------------
 
-# training rows never hold "view", so that it is unseen in the test rows
+# test rows call "view" by another name, so that they hold a level unseen in training
+_RENAMED_SQL = "CASE WHEN is_test AND purpose = 'view' THEN 'late view' ELSE purpose END"
 _ENCODE_SQL = f"""
-t AS (SELECT booking_id, purpose AS dining_purpose, gender AS booked_by_gender, {is_test_sql('booking_id')} AS is_test
-      FROM ({roles.EVENT_BOOKINGS_SQL})),
+t AS (SELECT booking_id, {_RENAMED_SQL} AS dining_purpose, gender AS booked_by_gender, is_test
+      FROM (SELECT *, {is_test_sql('booking_id')} AS is_test FROM ({roles.EVENT_BOOKINGS_SQL}))),
 lp AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS code FROM
-       (SELECT DISTINCT dining_purpose AS label FROM t WHERE NOT is_test AND dining_purpose <> 'view')),
+       (SELECT DISTINCT dining_purpose AS label FROM t WHERE NOT is_test)),
 lg AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS code FROM
-       (SELECT DISTINCT coalesce(booked_by_gender, 'Unknown') AS label FROM t WHERE NOT is_test AND dining_purpose <> 'view')),
+       (SELECT DISTINCT coalesce(booked_by_gender, 'Unknown') AS label FROM t WHERE NOT is_test)),
 enc AS (SELECT t.booking_id, t.is_test, t.dining_purpose, lp.code AS dining_purpose_code, lg.code AS booked_by_gender_code
         FROM t LEFT JOIN lp ON t.dining_purpose = lp.label LEFT JOIN lg ON coalesce(t.booked_by_gender, 'Unknown') = lg.label)"""
 
 
+def _renamed():
+    late = split.is_test_row(F.col("booking_id")) & (F.col("purpose") == "view")
+    return F.when(late, "late view").otherwise(F.col("purpose"))
+
+
 def _encoder_rows(spark, sf):
-    rows = roles.event_bookings(spark, sf).select(
-        "booking_id", F.col("purpose").alias("dining_purpose"), F.col("gender").alias("booked_by_gender"))
-    train, test = split.split_random(rows, "booking_id")
-    return train.filter("dining_purpose <> 'view'"), test
+    rows = roles.event_bookings(spark, sf).select("booking_id", _renamed().alias("dining_purpose"), F.col("gender").alias("booked_by_gender"))
+    return split.split_random(rows, "booking_id")
 
 
 _CODES = ["booking_id", "dining_purpose_code", "booked_by_gender_code"]
 
 
 @query("encode_native", f"""
-WITH {_ENCODE_SQL} SELECT booking_id, dining_purpose_code, booked_by_gender_code FROM enc
-WHERE is_test OR dining_purpose <> 'view'""")
+WITH {_ENCODE_SQL} SELECT booking_id, dining_purpose_code, booked_by_gender_code FROM enc""")
 def encode_native(spark, sf):
     train, test, _ = encode.encode_native(*_encoder_rows(spark, sf))
     return train.select(_CODES).unionByName(test.select(_CODES))
@@ -248,8 +251,7 @@ def encode_native(spark, sf):
 
 @query("encode_ordinal", f"""
 WITH {_ENCODE_SQL} SELECT booking_id, coalesce(dining_purpose_code, -1) AS dining_purpose_code,
-       coalesce(booked_by_gender_code, -1) AS booked_by_gender_code FROM enc
-WHERE is_test OR dining_purpose <> 'view'""")
+       coalesce(booked_by_gender_code, -1) AS booked_by_gender_code FROM enc""")
 def encode_ordinal(spark, sf):
     train, test, _ = encode.encode_ordinal(*_encoder_rows(spark, sf))
     return train.select(_CODES).unionByName(test.select(_CODES))
@@ -267,11 +269,11 @@ def encode_apply_unseen(spark, sf):
 @query("target_encode_roundtrip", f"""
 WITH s AS ({roles.SLOTTED_SQL}),
 codes AS (SELECT slot, CAST(row_number() OVER (ORDER BY slot) - 1 AS INT) AS target_code
-          FROM (SELECT DISTINCT slot FROM s WHERE NOT is_test AND subset = 'dinner'))
+          FROM (SELECT DISTINCT slot FROM s WHERE NOT is_test))
 SELECT s.event_id, s.slot, c.target_code, c.slot AS decoded FROM s LEFT JOIN codes c ON s.slot = c.slot WHERE s.is_test""")
 def target_encode_roundtrip(spark, sf):
     rows = roles.slotted_events(spark, sf)
-    codes = encode.fit_target(rows.filter("not is_test and subset = 'dinner'"), "slot")
+    codes = encode.fit_target(rows.filter("not is_test"), "slot")
     coded = encode.encode_target(rows.filter("is_test").select("event_id", "slot"), codes, "slot")
     return encode.decode_target(coded, codes, "target_code", "decoded")
 
@@ -279,22 +281,20 @@ def target_encode_roundtrip(spark, sf):
 _ONE_HOT_SQL = f"""
 SELECT booking_id, is_test, CAST(purpose = 'click' AS INT) AS purpose_click, CAST(purpose = 'error' AS INT) AS purpose_error,
        CAST(purpose = 'purchase' AS INT) AS purpose_purchase, CAST(purpose = 'signup' AS INT) AS purpose_signup,
+       CAST(purpose = 'view' AS INT) AS purpose_view,
        CAST(coalesce(gender = 'F', false) AS INT) AS "gender_F", CAST(coalesce(gender = 'M', false) AS INT) AS "gender_M",
        {', '.join(f'CAST(isodow(datetime) = {d} AS INT) AS weekday_{d}' for d in range(2, 8))}
-FROM (SELECT *, {is_test_sql('booking_id')} AS is_test FROM ({roles.EVENT_BOOKINGS_SQL}))"""
+FROM (SELECT * REPLACE ({_RENAMED_SQL} AS purpose) FROM (SELECT *, {is_test_sql('booking_id')} AS is_test FROM ({roles.EVENT_BOOKINGS_SQL})))"""
 
 
 def _one_hot_rows(spark, sf):
     rows = roles.event_bookings(spark, sf).select(
-        "booking_id", "purpose", "gender", temporal.iso_weekday(F.col("datetime")).alias("weekday"))
+        "booking_id", _renamed().alias("purpose"), "gender", temporal.iso_weekday(F.col("datetime")).alias("weekday"))
     train, test = split.split_random(rows, "booking_id")
-    train = train.filter("purpose <> 'view'")
     return train, test, encode.fit_one_hot(train, ["purpose", "gender", "weekday"])
 
 
-@query("one_hot", f"""
-SELECT * EXCLUDE (is_test, purpose) FROM (SELECT o.*, b.purpose FROM ({_ONE_HOT_SQL}) o
-    JOIN ({roles.EVENT_BOOKINGS_SQL}) b USING (booking_id)) WHERE NOT is_test AND purpose <> 'view'""")
+@query("one_hot", f"SELECT * EXCLUDE (is_test) FROM ({_ONE_HOT_SQL}) WHERE NOT is_test")
 def one_hot(spark, sf):
     train, _, fitted = _one_hot_rows(spark, sf)
     return encode.apply_one_hot(train, fitted)
@@ -364,9 +364,9 @@ base AS (SELECT subset, slot AS baseline FROM
 SELECT r.booking_id, b.baseline AS reservation_half_hour, {_RANGE_SQL} AS time_range, r.subset
 FROM r LEFT JOIN base b ON r.subset = b.subset WHERE r.is_test""")
 def raw_to_prediction(spark, sf):
-    features = etl.features_from_raw(
+    features = freeze(etl.features_from_raw(
         _raw_event_bookings(spark, sf), roles.restaurants(spark, sf), roles.members(spark, sf),
-        keep=["booking_id"], holidays=roles.HOLIDAYS_2024)
+        keep=["booking_id"], holidays=roles.HOLIDAYS_2024).select("booking_id", "reservation_half_hour", "reservation_hour"), "slots")
     train, test = split.split_random(features, "booking_id")
     fitted = routing.fit_most_frequent(
         routing.route(train).filter(F.col("subset") != K.UNMATCHED), "reservation_half_hour")

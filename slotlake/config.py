@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 
@@ -35,6 +36,7 @@ class BoostSettings:
     rounds: int = 200
     depth: int = 6
     learning_rate: float = 0.1
+    min_leaf: int = 1
     seed: int = 42
 
 
@@ -54,17 +56,48 @@ class EvaluationSettings:
     tolerance: int = 1
 
 
+@dataclass(frozen=True)
+class Choice:
+    """One of some values."""
+
+    options: tuple
+
+    def draw(self, rng: random.Random):
+        return rng.choice(self.options)
+
+
+@dataclass(frozen=True)
+class Whole:
+    """A whole number, both ends included."""
+
+    low: int
+    high: int
+
+    def draw(self, rng: random.Random) -> int:
+        return rng.randint(self.low, self.high)
+
+
+@dataclass(frozen=True)
+class Real:
+    """A number, even in its logarithm if ``log``."""
+
+    low: float
+    high: float
+    log: bool = False
+
+    def draw(self, rng: random.Random) -> float:
+        at = rng.random()
+        return self.low * (self.high / self.low) ** at if self.log else self.low + (self.high - self.low) * at
+
+
+Range = Choice | Whole | Real
+
+# fixed values: the ranges that the models are searched in
 BOOST_SEARCH_SPACE = {
-    "rounds": {"type": "categorical", "choices": [100, 300, 500, 1000]},
-    "depth": {"type": "int", "low": 3, "high": 12},
-    "learning_rate": {"type": "float", "low": 0.01, "high": 0.3, "log": True},
-    "min_leaf": {"type": "int", "low": 1, "high": 10},
-}
-FOREST_SEARCH_SPACE = {
-    "trees": {"type": "categorical", "choices": [100, 200, 300, 500]},
-    "depth": {"type": "int", "low": 4, "high": 20},
-    "min_leaf": {"type": "int", "low": 2, "high": 20},
+    "rounds": Choice((100, 300, 500, 1000)), "depth": Whole(3, 12), "learning_rate": Real(0.01, 0.3, log=True),
+    "min_leaf": Whole(1, 10),
 }
+FOREST_SEARCH_SPACE = {"trees": Choice((100, 200, 300, 500)), "depth": Whole(4, 20), "min_leaf": Whole(2, 20)}
 
 
 def resolve_granularity(name: str) -> tuple[str, tuple[str, ...]]:

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
+
 from slotlake.operators import cleaning
 from slotlake.operators.popularity import fit_venue_statistics
 from slotlake.plans.etl import build_features
 from slotlake.schema import BOOKINGS, MEMBERS, RESTAURANTS
-from slotlake.session import get_spark
+from slotlake.session import clear_workspace, get_spark
 from slotlake.sources.delimited import read_raw, write_table
 
 
@@ -23,7 +25,8 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--bookings", default="train.csv")
     options = args.parse_args(argv)
     spark = get_spark("slotlake-etl")
-    read = lambda name, schema: read_raw(spark, f"{options.raw}/{name}", schema, encoding=options.encoding)
+    read = lambda name, schema: read_raw(spark, f"{options.raw}/{name}", schema, encoding=options.encoding,
+                                         rejects=f"{options.output}/rejects/{name}")
     silver = {
         "bookings": cleaning.clean_bookings(read(options.bookings, BOOKINGS)),
         "restaurants": cleaning.clean_restaurants(read("restaurant_revised.csv", RESTAURANTS)),
@@ -41,3 +44,4 @@ def main(argv: list[str] | None = None) -> None:
 
 if __name__ == "__main__":
     main()
+    clear_workspace(SparkSession.active())

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 
 from slotlake.config import (BOOST_SEARCH_SPACE, FOREST_SEARCH_SPACE, MEAL_BANDS, ROUTING_COLUMN, BoostSettings,
                              EvaluationSettings, ForestSettings, resolve_granularity)
-from slotlake.operators.cleaning import fill_numeric
+from slotlake.operators import evaluate
+from slotlake.operators.cleaning import fill_numeric, numeric_columns
 from slotlake.plans import scoring, training
-from slotlake.session import freeze, get_spark
+from slotlake.session import clear_workspace, freeze, get_spark
 from slotlake.sources.delimited import write_table
 
 
@@ -25,8 +29,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_spark("slotlake-train")
     target, leakage = resolve_granularity(options.granularity)
     df = spark.read.parquet(options.features)
-    numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "double")
-               and c not in ("booking_id", ROUTING_COLUMN, target, *leakage)]
+    numeric = [c for c in numeric_columns(df) if c not in ("booking_id", ROUTING_COLUMN, target, *leakage)]
     df = freeze(fill_numeric(df, "mean", columns=numeric), "training-rows")
     columns = training.candidate_features(df, target, leakage, ["booking_id"])
 
@@ -35,24 +38,34 @@ def main(argv: list[str] | None = None) -> None:
         params, space = {"trees": options.size}, FOREST_SEARCH_SPACE
     else:
         make = lambda p: training.boosted_classifier(BoostSettings(**p))
-        params, space = {"rounds": options.size}, {k: v for k, v in BOOST_SEARCH_SPACE.items() if k != "min_leaf"}
+        params, space = {"rounds": options.size}, BOOST_SEARCH_SPACE
     settings = EvaluationSettings(split=options.split)
-    models, parts = [], []
-    for band in MEAL_BANDS:
+
+    def one(band):
+        """A band's model, test predictions, and cross-validated scores of its settings."""
         rows = df.filter(df[ROUTING_COLUMN].between(band.first, band.last))
-        chosen = params
+        chosen, trials = params, None
         if options.tune:
-            chosen, _ = training.search_params(rows, target, "booking_id", columns, make, space, options.tune)
-        model, predicted = training.train_band(df, band, target, "booking_id", columns, make(chosen), settings)
-        models.append(model)
-        parts.append(predicted)
-    predictions = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    scoring.save_bundle(models, options.bundle, target, leakage)
-    write_table(training.summary(predictions, settings.tolerance), f"{options.bundle}-metrics/summary")
-    for model in models:
-        write_table(training.feature_importance(model.model),
-                    f"{options.bundle}-metrics/importance/{model.band.name}")
+            chosen, trials = training.search_params(rows, target, "booking_id", columns, make, space, options.tune, settings.folds)
+            scores = trials.orderBy(trials["cv_acc_mean"].desc(), "trial").limit(1)
+        else:
+            scores = training.cross_validate(rows, target, "booking_id", columns, lambda: make(chosen), settings.folds)
+        return (*training.train_band(df, band, target, "booking_id", columns, make(chosen), settings), scores)
+
+    trained = training.in_parallel(one, MEAL_BANDS)
+    predictions = freeze(reduce(DataFrame.unionByName, [p for _, p, _ in trained]), "predictions")
+    scoring.save_bundle([m for m, _, _ in trained], options.bundle, target, leakage)
+    metrics = f"{options.bundle}-metrics"
+    conf = freeze(evaluate.confusion(predictions, by=["subset"]), "confusion")
+    write_table(training.summary(predictions, settings.tolerance), f"{metrics}/summary")
+    write_table(conf, f"{metrics}/confusion")
+    for model, _, scores in trained:
+        name = model.band.name
+        write_table(training.feature_importance(model.model), f"{metrics}/importance/{name}")
+        write_table(scores, f"{metrics}/cross_validation/{name}")
+        write_table(evaluate.classification_report(conf.filter(conf["subset"] == name).drop("subset")), f"{metrics}/report/{name}")
 
 
 if __name__ == "__main__":
     main()
+    clear_workspace(SparkSession.active())

@@ -41,13 +41,15 @@ def merge(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left
     return joined.select(*keys, *rest)
 
 
-def star_join(bookings: DataFrame, restaurants: DataFrame, members: DataFrame) -> DataFrame:
+def star_join(bookings: DataFrame, restaurants: DataFrame, members: DataFrame,
+              venue_columns: Sequence[str] = ()) -> DataFrame:
     """Bookings with restaurant and member columns; every booking is kept.
 
     The 28 columns are named one by one, so the creation time is that of the booking and the
-    gender and city of the member keep their own names.
+    gender and city of the member keep their own names. ``venue_columns`` names further columns
+    of the restaurants to bring along.
     """
-    r = restaurants.select(F.col("id").alias("_rid"), *K.RESTAURANT_COLUMNS_IN_STAR)
+    r = restaurants.select(F.col("id").alias("_rid"), *K.RESTAURANT_COLUMNS_IN_STAR, *venue_columns)
     m = members.select(
         F.col("id").alias("_mid"),
         *[F.col(old).alias(new) for old, new in K.MEMBER_COLUMNS_IN_STAR.items()],

@@ -125,3 +125,28 @@ def apply_venue_statistics(df: DataFrame, fitted: VenueStatistics, restaurant: s
                            area: str = "cityarea") -> DataFrame:
     return apply_density(
         apply_popularity(df, fitted.popularity, fitted.overall_hour, restaurant), fitted.density, area)
+
+
+VENUE_COLUMNS = ("popular_hour", "dinner_ratio", "restaurant_density")
+
+
+def venues_with_statistics(restaurants: DataFrame, fitted: VenueStatistics, area: str = "cityarea") -> DataFrame:
+    """Restaurants with their statistics, and the venues that only bookings name with theirs.
+
+    Joined here, the statistics reach the bookings with the restaurant's own join; the bookings
+    are never shuffled by area, where one value holds most rows.
+    """
+    known = fitted.popularity.select(F.col("restaurant").alias("_restaurant"), "popular_hour", "dinner_ratio")
+    venues = restaurants.join(known, F.col("id") == F.col("_restaurant"), "full")
+    venues = venues.withColumn("id", F.coalesce("id", "_restaurant")).drop("_restaurant")
+    found = fitted.density.select(F.col("area").alias("_area"), "restaurant_density")
+    return venues.join(found, F.col(area) == F.col("_area"), "left").drop("_area")
+
+
+def fill_statistics(df: DataFrame, fitted: VenueStatistics) -> DataFrame:
+    """What a booking without venue statistics gets: the overall hour, no dinners, no density."""
+    return df.withColumns({
+        "popular_hour": F.coalesce("popular_hour", F.lit(fitted.overall_hour)),
+        "dinner_ratio": F.coalesce("dinner_ratio", F.lit(0.0)),
+        "restaurant_density": F.coalesce("restaurant_density", F.lit(0)),
+    })

@@ -12,6 +12,7 @@ from slotlake.functions import temporal
 from slotlake.functions.values import category_text
 from slotlake.operators.ranking import quantiles
 from slotlake.schema import Rule
+from slotlake.session import freeze
 
 
 def _unpivot_row(one: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -122,6 +123,7 @@ def _quantile_columns(found: dict[str, list], names: Sequence[str], fields: Sequ
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum per column."""
+    df = freeze(df.select(*columns), "profiled")  # read several times
     found = quantiles(df, columns, [0.25, 0.5, 0.75])
     aggregates = []
     for c in columns:
@@ -144,6 +146,7 @@ def _bias_corrected(c: str) -> tuple[Column, Column]:
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``describe_numeric`` plus missing values, skewness and kurtosis."""
+    df = freeze(df.select(*columns), "profiled")  # read several times
     found = quantiles(df, columns, [0.25, 0.5, 0.75])
     aggregates = []
     for c in columns:
@@ -162,6 +165,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def outliers_iqr(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """Quartile fences of each column and how many values lie outside."""
+    df = freeze(df.select(*columns), "profiled")  # read several times
     found = quantiles(df, columns, [0.25, 0.75])
     aggregates, fences = [], []
     for c in columns:

@@ -11,7 +11,10 @@ from slotlake import constants as K
 from slotlake.functions import temporal, values
 from slotlake.operators import cleaning
 from slotlake.operators.joins import star_join
-from slotlake.operators.popularity import VenueStatistics, apply_venue_statistics, fit_venue_statistics
+from slotlake.operators.popularity import (
+    VENUE_COLUMNS, VenueStatistics, apply_venue_statistics, fill_statistics, fit_venue_statistics, venues_with_statistics,
+)
+from slotlake.session import freeze
 
 
 def scalar_features(df: DataFrame, holidays: Sequence[str] = K.HOLIDAYS_2014,
@@ -32,37 +35,41 @@ def scalar_features(df: DataFrame, holidays: Sequence[str] = K.HOLIDAYS_2014,
     })
 
 
+def _finish(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    dropped = [c for c in K.DROPPED_AFTER_FEATURES if c not in keep]
+    return df.transform(cleaning.rename_columns, K.FEATURE_NAMES).transform(cleaning.drop_columns, dropped)
+
+
 def transform_features(df: DataFrame, holidays: Sequence[str] = K.HOLIDAYS_2014, payday: int = K.PAYDAY,
                        fitted: VenueStatistics | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """The feature table of joined bookings.
+    """The feature table of bookings that are already joined.
 
     Venue statistics are fitted on the rows at hand unless ``fitted`` brings those of the
     training rows. ``keep`` names id columns to retain, for splits and for scoring.
     """
     statistics = fitted if fitted is not None else fit_venue_statistics(df)
-    dropped = [c for c in K.DROPPED_AFTER_FEATURES if c not in keep]
-    return (
-        df.transform(scalar_features, holidays, payday)
-        .transform(apply_venue_statistics, statistics)
-        .transform(cleaning.rename_columns, K.FEATURE_NAMES)
-        .transform(cleaning.drop_columns, dropped)
-    )
+    return df.transform(scalar_features, holidays, payday).transform(apply_venue_statistics, statistics).transform(_finish, keep)
 
 
 def build_features(bookings: DataFrame, restaurants: DataFrame, members: DataFrame,
                    fitted: VenueStatistics | None = None, keep: Sequence[str] = (),
-                   **feature_options) -> DataFrame:
-    """Star join and feature table of clean bookings.
+                   holidays: Sequence[str] = K.HOLIDAYS_2014, payday: int = K.PAYDAY) -> DataFrame:
+    """Star join and feature table of clean bookings: two joins of the bookings.
 
-    Without ``fitted`` statistics they come from a scan of two booking columns, before the join.
+    Without ``fitted`` statistics they come from a scan of two booking columns, before the join;
+    that scan runs at once, the feature table when it is used.
     """
     if fitted is None:
         fitted = fit_venue_statistics(bookings, areas=restaurants)
-    joined = star_join(bookings, restaurants, members)
-    return transform_features(joined, fitted=fitted, keep=keep, **feature_options)
+    venues = venues_with_statistics(restaurants, fitted)
+    joined = star_join(bookings, venues, members, VENUE_COLUMNS)
+    return joined.transform(scalar_features, holidays, payday).transform(fill_statistics, fitted).transform(_finish, keep)
 
 
 def features_from_raw(bookings: DataFrame, restaurants: DataFrame, members: DataFrame,
                       **options) -> DataFrame:
-    """Clean unseen bookings, join the cleaned dimensions, derive the features."""
-    return build_features(cleaning.clean_bookings(bookings), restaurants, members, **options)
+    """Clean unseen bookings, join the cleaned dimensions, derive the features.
+
+    The clean bookings are written once: statistics and features read parsed times.
+    """
+    return build_features(freeze(cleaning.clean_bookings(bookings), "clean-bookings"), restaurants, members, **options)

@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotlake import constants as K
-from slotlake.config import MEAL_BANDS, ROUTING_COLUMN, Band, BoostSettings, EvaluationSettings, ForestSettings
+from slotlake.config import (
+    MEAL_BANDS, ROUTING_COLUMN, Band, BoostSettings, EvaluationSettings, ForestSettings, Range,
+)
 from slotlake.functions.temporal import round_to_slot
 from slotlake.functions.values import category_text
 from slotlake.operators import encode, evaluate
@@ -53,13 +55,13 @@ def forest_regressor(s: ForestSettings = ForestSettings()) -> Estimator:
 def boosted_classifier(s: BoostSettings = BoostSettings(), parallelism: int = 4) -> Estimator:
     """One boosted model per class: Spark's boosting itself separates only two classes."""
     one = GBTClassifier(maxIter=s.rounds, maxDepth=s.depth, stepSize=s.learning_rate, seed=s.seed,
-                        maxBins=128)
+                        minInstancesPerNode=s.min_leaf, maxBins=128)
     return OneVsRest(classifier=one, parallelism=parallelism)
 
 
 def boosted_regressor(s: BoostSettings = BoostSettings(), loss: str = "squared") -> Estimator:
     return GBTRegressor(maxIter=s.rounds, maxDepth=s.depth, stepSize=s.learning_rate, seed=s.seed,
-                        lossType=loss, maxBins=128)
+                        minInstancesPerNode=s.min_leaf, lossType=loss, maxBins=128)
 
 
 # --- feature vectors ---------------------------------------------------------------------------------
@@ -92,6 +94,16 @@ def vector_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     return stages
 
 
+def fit_stages(inputs: DataFrame, numeric: Sequence[str], categorical: Sequence[str], estimator: Estimator) -> PipelineModel:
+    """Encoders and estimator. A tree needs a bin for every level of a category, unseen ones included."""
+    before = Pipeline(stages=vector_stages(numeric, categorical)).fit(inputs)
+    levels = max([len(a) + 1 for s in before.stages if hasattr(s, "labelsArray") for a in s.labelsArray], default=0)
+    tree = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    if levels > tree.getMaxBins():
+        tree.setMaxBins(levels)
+    return PipelineModel([*before.stages, estimator.fit(before.transform(inputs))])
+
+
 # --- one classifier ------------------------------------------------------------------------------------
 
 @dataclass
@@ -134,8 +146,7 @@ def fit_classifier(train: DataFrame, target: str, features: Sequence[str], estim
     metadata = {"ml_attr": {"type": "nominal", "vals": [str(v) for v in labels], "name": "label"}}
     labelled = typed.withColumn("label", place.cast("double")).withMetadata("label", metadata)
     inputs = labelled.select("label", *numeric, *categorical)
-    return SlotModel(Pipeline(stages=[*vector_stages(numeric, categorical), estimator]).fit(inputs),
-                     labels, numeric, categorical)
+    return SlotModel(fit_stages(inputs, numeric, categorical, estimator), labels, numeric, categorical)
 
 
 # --- one regressor ----------------------------------------------------------------------------------------
@@ -157,8 +168,7 @@ def fit_regressor(train: DataFrame, target: str, features: Sequence[str], estima
     numeric, categorical = split_feature_names(train, features)
     typed = with_model_types(train.filter(F.col(target).isNotNull()), numeric, categorical)
     inputs = typed.select(F.col(target).cast("double").alias("label"), *numeric, *categorical)
-    return ValueModel(Pipeline(stages=[*vector_stages(numeric, categorical), estimator]).fit(inputs),
-                      numeric, categorical)
+    return ValueModel(fit_stages(inputs, numeric, categorical, estimator), numeric, categorical)
 
 
 def predict_slots(model: ValueModel, df: DataFrame, output: str = "prediction") -> DataFrame:
@@ -179,7 +189,8 @@ class LinearModel:
     def predict(self, df: DataFrame, keep: Sequence[str], output: str = "prediction") -> DataFrame:
         typed = _linear_inputs(df, self.plain, self.categories, keep)
         raw = self.pipeline.transform(typed)
-        return raw.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("prediction").alias(output))
+        predicted = F.when(F.col("_complete"), F.col("prediction"))
+        return raw.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], predicted.alias(output))
 
     def coefficients(self) -> DataFrame:
         """Effect of one population deviation of each input, so that inputs compare."""
@@ -188,23 +199,27 @@ class LinearModel:
 
 
 def _linear_inputs(df: DataFrame, plain: Sequence[str], categories: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Numbers and category text; ``_complete`` tells whether every number is there, else it is 0 here."""
+    numbers = {c: F.col(c).try_cast("double") for c in plain}
+    known = {c: v.isNotNull() & ~F.isnan(v) for c, v in numbers.items()}
     return df.select(
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
-        *[F.col(c).try_cast("double").alias(c) for c in plain],
-        *[encode.level_text(df, c).alias(c) for c in categories])
+        *[F.when(known[c], v).otherwise(0.0).alias(c) for c, v in numbers.items()],
+        *[encode.level_text(df, c).alias(c) for c in categories],
+        reduce(lambda a, b: a & b, known.values(), F.lit(True)).alias("_complete"))
 
 
 def fit_linear(train: DataFrame, target: str, features: Sequence[str],
                integer_categories: Sequence[str] = K.INTEGER_CATEGORICAL_COLUMNS,
                baselines: Mapping[str, str] = K.ONE_HOT_BASELINES) -> LinearModel:
-    """Fit on complete rows. A label unseen in training, or missing, is zero in every one-hot place:
+    """Fit on complete rows; ``predict`` answers every row, with null where a number is missing. A label unseen in training, or missing, is zero in every one-hot place:
     the indexer gives both a last code of their own, and the encoder drops the last code."""
     evaluate.assert_no_leakage(features, [*K.TIME_SIBLINGS, target])
     numeric, text = split_feature_names(train, features)
     categories = [*text, *[c for c in integer_categories if c in features]]
     plain = [c for c in numeric if c not in categories]
     rows = _linear_inputs(train, plain, categories, [target]).withColumn(
-        "label", F.col(f"_keep_{target}").cast("double"))
+        "label", F.col(f"_keep_{target}").cast("double")).filter("_complete and label is not null")
     stages, names = [], list(plain)
     if categories:
         codes, vectors = [f"{c}{CODE}" for c in categories], [f"{c}_vector" for c in categories]
@@ -218,12 +233,12 @@ def fit_linear(train: DataFrame, target: str, features: Sequence[str],
     dropped = {f"{c}_{v}" for c, v in baselines.items()}
     kept = [i for i, n in enumerate(names) if n not in dropped]
     prepare = Pipeline(stages=[
-        *stages, VectorAssembler(inputCols=plain_and_vectors, outputCol="_all", handleInvalid="skip"),
+        *stages, VectorAssembler(inputCols=plain_and_vectors, outputCol="_all", handleInvalid="error"),
         VectorSlicer(inputCol="_all", outputCol="features", indices=kept)]).fit(rows)
     vectors_only = prepare.transform(rows).select("label", "features")
     moments = vectors_only.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("m")).first()["m"]
     share = (moments["count"] - 1) / moments["count"] if moments["count"] else 0.0
-    model = LinearRegression(solver="normal", regParam=0.0).fit(vectors_only)
+    model = LinearRegression(solver="auto", regParam=0.0).fit(vectors_only)
     return LinearModel(PipelineModel([*prepare.stages, model]), plain, categories, [names[i] for i in kept],
                        [math.sqrt(v * share) for v in moments["variance"]])
 
@@ -255,12 +270,14 @@ def summarise_folds(scores: DataFrame) -> DataFrame:
         F.avg("f1_weighted").alias("cv_f1_mean"), F.stddev_pop("f1_weighted").alias("cv_f1_std"))
 
 
-def cross_validate(df: DataFrame, target: str, key: str, features: Sequence[str],
-                   estimator: Callable[[], Estimator], folds: int = 5) -> DataFrame:
-    """Fit everything, encoders included, per fold; one row of means and deviations."""
-    # written once: folds are ranked by a shuffle that no fit should repeat
-    marked = freeze(stratified_folds(df.select(key, target, *features), target, key, folds), "folds")
+def mark_folds(df: DataFrame, target: str, key: str, features: Sequence[str], folds: int = 5) -> DataFrame:
+    """The columns that fits need and ``fold``, written once: no fit ranks the rows again."""
+    return freeze(stratified_folds(df.select(key, target, *features), target, key, folds), "folds")
 
+
+def score_folds(marked: DataFrame, target: str, features: Sequence[str], estimator: Callable[[], Estimator],
+                folds: int = 5) -> DataFrame:
+    """Fit everything, encoders included, per fold of marked rows; one row of means and deviations."""
     def run(fold: int) -> DataFrame:
         model = fit_classifier(marked.filter(F.col("fold") != fold), target, features, estimator())
         return model.predict(marked.filter(F.col("fold") == fold)).select(
@@ -271,37 +288,23 @@ def cross_validate(df: DataFrame, target: str, key: str, features: Sequence[str]
     return summarise_folds(scores_by_fold(conf))
 
 
-def draw_params(space: Mapping[str, Mapping], rng: random.Random) -> dict:
-    """One draw from a search space of ``categorical``, ``int`` and ``float`` entries."""
-    drawn = {}
-    for name, spec in space.items():
-        if spec["type"] == "categorical":
-            drawn[name] = rng.choice(spec["choices"])
-        elif spec["type"] == "int":
-            drawn[name] = rng.randint(spec["low"], spec["high"])
-        elif spec["type"] == "float":
-            low, high = spec["low"], spec["high"]
-            drawn[name] = (math.exp(rng.uniform(math.log(low), math.log(high))) if spec.get("log")
-                           else rng.uniform(low, high))
-        else:
-            raise ValueError(f"unknown type {spec['type']!r} of parameter {name!r}")
-    return drawn
+def cross_validate(df: DataFrame, target: str, key: str, features: Sequence[str],
+                   estimator: Callable[[], Estimator], folds: int = 5) -> DataFrame:
+    return score_folds(mark_folds(df, target, key, features, folds), target, features, estimator, folds)
 
 
 def search_params(df: DataFrame, target: str, key: str, features: Sequence[str],
-                  estimator: Callable[[dict], Estimator], space: Mapping[str, Mapping], trials: int,
-                  folds: int = 3, seed: int = 42) -> tuple[dict, DataFrame]:
-    """Best of ``trials`` random draws by cross-validated accuracy, and all trials."""
+                  estimator: Callable[[dict], Estimator], space: Mapping[str, Range], trials: int,
+                  folds: int = 5, seed: int = 42) -> tuple[dict, DataFrame]:
+    """Best of ``trials`` random draws by cross-validated accuracy, and all trials on the same folds."""
     rng = random.Random(seed)
-    results = []
-    for trial in range(trials):
-        params = draw_params(space, rng)
-        score = cross_validate(df, target, key, features, lambda: estimator(params), max(folds, 3)).first()
-        results.append((trial, str(params), score["cv_acc_mean"], params))
-    best = max(results, key=lambda r: (r[2], -r[0]))
+    marked = mark_folds(df, target, key, features, folds)
+    drawn = [{name: values.draw(rng) for name, values in space.items()} for _ in range(trials)]
+    scores = [score_folds(marked, target, features, lambda p=p: estimator(p), folds).first()["cv_acc_mean"] for p in drawn]
+    best = max(range(trials), key=lambda t: (scores[t], -t))
     table = SparkSession.active().createDataFrame(
-        [r[:3] for r in results], "trial INT, params STRING, cv_acc_mean DOUBLE")
-    return best[3], table
+        [(t, str(p), s) for t, (p, s) in enumerate(zip(drawn, scores))], "trial INT, params STRING, cv_acc_mean DOUBLE")
+    return drawn[best], table
 
 
 # --- bands ---------------------------------------------------------------------------------------------------
@@ -361,12 +364,35 @@ def ablate(df: DataFrame, variants: Mapping[str, Sequence[str]], target: str, ke
     parts = []
     for band in bands:
         rows = df.filter(F.col(ROUTING_COLUMN).between(band.first, band.last))
+        marked = mark_folds(rows, target, key, sorted({c for v in variants.values() for c in v}), folds)
         for name, features in variants.items():
-            scores = cross_validate(rows, target, key, features, estimator, folds)
+            scores = score_folds(marked, target, features, estimator, folds)
             parts.append(scores.select(F.lit(band.name).alias("subset"), F.lit(name).alias("variant"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def compare_band_sets(df: DataFrame, target: str, key: str, features: Sequence[str], band_sets: Mapping[str, Sequence[Band]],
+                      classifier: Callable[[], Estimator], ordinal: Callable[[], Estimator]) -> DataFrame:
+    """One row per kind of model and set of bands, pooled over its bands: test rows, accuracy, weighted F1,
+    and the share within one slot. All sets are judged on the same split."""
+    def ordinal_rows(band: Band) -> DataFrame:
+        rows = df.filter(F.col(ROUTING_COLUMN).between(band.first, band.last))
+        train, test = split_random(rows, key)
+        model = fit_regressor(train, target, features, ordinal())
+        return predict_slots(model, test).select(F.col(target).alias("label"), "prediction")
+
+    parts = []
+    for name, bands in band_sets.items():
+        _, by_class = train_bands(df, target, key, features, classifier, bands)
+        by_order = reduce(DataFrame.unionByName, in_parallel(ordinal_rows, bands))
+        for kind, predicted in (("classifier", by_class.select("label", "prediction")), ("ordinal", by_order)):
+            conf = freeze(evaluate.confusion(predicted), "band-set-counts")
+            found = evaluate.accuracy(conf).crossJoin(evaluate.weighted_f1(conf)).crossJoin(
+                evaluate.tolerance_accuracy(conf, 1).drop("n"))  # one row each
+            parts.append(found.select(F.lit(kind).alias("kind"), F.lit(name).alias("band_set"), F.lit(len(bands)).alias("n_bands"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def geo_variants(features: Sequence[str]) -> dict[str, list[str]]:
     """Feature sets with all, some or none of the geographic columns."""
     codes, place = set(K.GEO_CATEGORICAL_COLUMNS), {"lat", "lng"}

@@ -31,21 +31,30 @@ def workspace(spark: SparkSession) -> str:
     """Folder that every executor can read and write.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only a session without
-    that setting, such as a test on one machine, gets a folder of its own.
+    that setting, such as a test on one machine, gets a folder of its own. Each application has
+    a subfolder, so that one may clear its own and no other's.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
-        return f"{named.rstrip('/')}/slotlake"
+        return f"{named.rstrip('/')}/slotlake-{context.applicationId}"
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="slotlake-"))
-    return f"{context.getCheckpointDir()}/slotlake"
+    return f"{context.getCheckpointDir()}/slotlake-{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_workspace(spark: SparkSession) -> None:
+    """Remove what was written to the shared folder; for the end of a job, when its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(workspace(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table once and continue from the written files.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +49,14 @@ def split_bad_lines(df: DataFrame, sep: str = "\t") -> tuple[DataFrame, DataFram
 
 
 def read_raw(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t",
-             encoding: str = "UTF-16") -> DataFrame:
-    """A raw table without its malformed lines."""
-    return split_bad_lines(read_delimited(spark, path, schema, sep, encoding), sep)[0]
+             encoding: str = "UTF-16", rejects: str | None = None) -> DataFrame:
+    """A raw table without its malformed lines, which are written to ``rejects`` and reported by number."""
+    good, bad = split_bad_lines(read_delimited(spark, path, schema, sep, encoding), sep)
+    if rejects is not None:
+        write_table(bad.withColumn("source", F.lit(path)), rejects)
+        if n := spark.read.parquet(rejects).count():
+            warnings.warn(f"{n} malformed lines of {path} are in {rejects}", stacklevel=2)
+    return good
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:

@@ -42,6 +42,9 @@ def test_from_raw_text_to_predictions(spark, raw, tmp_path):
     bundle = str(tmp_path / "bundle")
     train.main([f"{out}/features_ready", bundle, "--size", "3"])
     assert spark.read.parquet(f"{bundle}-metrics/summary").count() == 3
+    metrics = lambda name: spark.read.parquet(f"{bundle}-metrics/{name}")
+    assert all(metrics(f"cross_validation/{band}").count() == 1 for band in ("lunch", "afternoon", "dinner"))
+    assert metrics("report/dinner").count() >= 6 and metrics("confusion").count() > 3
     requests = tmp_path / "requests"
     requests.mkdir()
     (requests / "a.json").write_text(json.dumps({"input_data": {
@@ -53,3 +56,6 @@ def test_from_raw_text_to_predictions(spark, raw, tmp_path):
     assert spark.read.json(str(tmp_path / "answers/rejected")).first()["problem"] == "unreadable"
     score.main([bundle, f"{out}/features_ready", str(tmp_path / "streamed"), "--stream"])
     assert spark.read.parquet(str(tmp_path / "streamed")).count() == 390
+    score.main([bundle, f"{raw}/train.csv", str(tmp_path / "scored"), "--lake", out, "--encoding", "UTF-16"])
+    scored = spark.read.parquet(str(tmp_path / "scored"))
+    assert scored.count() == 390 and scored.filter("subset <> '_unmatched' and reservation_half_hour is null").count() == 0

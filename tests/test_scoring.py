@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotlake import constants as K
-from slotlake.config import BoostSettings, EvaluationSettings, ForestSettings, MEAL_BANDS, resolve_granularity
+from slotlake.config import (
+    BoostSettings, Choice, EvaluationSettings, ForestSettings, MEAL_BANDS, Real, Whole, resolve_granularity,
+)
 from slotlake.operators import evaluate
 from slotlake.plans import scoring, training
 from slotlake.schema import BOOKING_RECORD, FEATURE_COLUMNS
@@ -151,21 +153,25 @@ def test_cross_validation_and_search(features):
     columns = ["party_size", "lat", "dining_purpose"]
     score = training.cross_validate(rows, TARGET, "booking_id", columns, lambda: training.forest_classifier(ForestSettings(trees=2, depth=2)), 3).first()
     assert 0 <= score["cv_acc_mean"] <= 1 and score["cv_acc_std"] >= 0
-    space = {"trees": {"type": "int", "low": 1, "high": 2}, "depth": {"type": "categorical", "choices": [2]}}
+    space = {"trees": Whole(1, 2), "depth": Choice((2,))}
     best, trials = training.search_params(rows, TARGET, "booking_id", columns,
                                           lambda p: training.forest_classifier(ForestSettings(p["trees"], p["depth"])), space, 1)
     assert best["depth"] == 2 and trials.count() == 1
 
 
-def test_search_space_draws():
+def test_search_ranges():
     import random
     rng = random.Random(1)
-    space = {"a": {"type": "float", "low": 0.01, "high": 0.3, "log": True}, "b": {"type": "int", "low": 3, "high": 5}}
     for _ in range(50):
-        drawn = training.draw_params(space, rng)
-        assert 0.01 <= drawn["a"] <= 0.3 and 3 <= drawn["b"] <= 5
-    with pytest.raises(ValueError):
-        training.draw_params({"x": {"type": "color"}}, rng)
+        assert 0.01 <= Real(0.01, 0.3, log=True).draw(rng) <= 0.3 and 3 <= Whole(3, 5).draw(rng) <= 5
+        assert Choice(("a", "b")).draw(rng) in ("a", "b") and -1 <= Real(-1, 1).draw(rng) <= 1
+
+
+def test_linear_model_predicts_every_row(spark):
+    df = spark.range(200).selectExpr("id", "CASE WHEN id % 4 <> 1 THEN CAST(id AS DOUBLE) END AS x", "CAST(2 * id AS DOUBLE) AS y")
+    got = training.fit_linear(df, "y", ["x"]).predict(df, ["id", "y"])
+    assert got.count() == 200 and got.filter("prediction IS NULL").count() == 50
+    assert got.filter("abs(prediction - y) > 1e-6").count() == 0
 
 
 def test_leaking_feature_is_refused(features):

@@ -27,6 +27,13 @@ def test_tab_separated_text(spark, tmp_path, encoding, option):
     assert good.select("id").count() == 3
 
 
+def test_rejected_lines_are_kept_and_counted(spark, tmp_path):
+    path = write(tmp_path / "raw", "id\tname\tprice\n1\ta\t2.5\n2\ttoo\t1\tmany\n", "utf-8")
+    with pytest.warns(UserWarning, match="1 malformed"):
+        assert delimited.read_raw(spark, path, SCHEMA, encoding="UTF-8", rejects=str(tmp_path / "rejects")).count() == 1
+    assert "too" in spark.read.parquet(str(tmp_path / "rejects")).first()["_corrupt_record"]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b", 2.0), (2, None, None)], SCHEMA)
     delimited.write_delimited(df, str(tmp_path / "out"))

@@ -125,7 +125,9 @@ def test_hash_fraction_is_uniform(spark):
     ("7/24/2013,,11:30:00,PM", dt.datetime(2013, 7, 24, 23, 30)), ("12/01/2013,,12:05:09,am", dt.datetime(2013, 12, 1, 0, 5, 9)),
     ("4/1/2012 0:30", dt.datetime(2012, 4, 1, 0, 30)), ("2014-01-31", dt.datetime(2014, 1, 31)),
     ("2014-01-31 08:09:10", dt.datetime(2014, 1, 31, 8, 9, 10)), ("0000-00-00", None), ("13/45/2012 0:30", None),
-    ("soon", None), (None, None)])
+    ("2014-01-01T10:00:00", dt.datetime(2014, 1, 1, 10)), ("2014-01-01 10:00:00.5", dt.datetime(2014, 1, 1, 10, 0, 0, 500000)),
+    ("2014/1/2 10:00", dt.datetime(2014, 1, 2, 10)), ("2014-1-2", dt.datetime(2014, 1, 2)), ("1/2/2014 10:00:05", dt.datetime(2014, 1, 2, 10, 0, 5)),
+    ("3 Feb 2014", dt.datetime(2014, 2, 3)), ("soon", None), (None, None)])
 def test_parse_timestamp(spark, text, parsed):
     got = one(spark, values.parse_timestamp(F.lit(text).cast("string"), DATETIME_FORMATS).cast("timestamp_ntz"))
     assert got == parsed
