@@ -154,7 +154,7 @@ def feature_importance(spark, sf):
 
 
 @query("train_summary", f"""
-SELECT subset, count(*) AS n_samples, count_if(is_test) AS n, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched' GROUP BY subset""")
+SELECT subset, count(*) AS n_samples, CAST(count_if(is_test) AS BIGINT) AS n, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched' GROUP BY subset""")
 def train_summary(spark, sf):
     _, models, predicted = _trained(spark, sf)
     sizes = spark.createDataFrame([(m.band.name, m.n_rows) for m in models], "subset STRING, n_samples BIGINT")
