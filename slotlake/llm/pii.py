@@ -38,7 +38,8 @@ SHAPES = {"number": ("ip", "card", "phone"), "account": ("iban",), "spelled": ("
 PRIOR = {
     ("email", "bias"): -1.0, ("email", "shape=address"): 3.0, ("email", "shape=spelled"): 2.0,
     ("ip", "bias"): -4.0, ("ip", "quad in range"): 5.0, ("card", "bias"): -4.0, ("card", "luhn"): 5.0,
-    ("phone", "bias"): -3.0, ("phone", "first=+"): 4.0, ("phone", "first=("): 1.0, ("phone", "cue phone"): 2.5,
+    ("phone", "bias"): -3.5, ("phone", "first=+"): 4.0, ("phone", "first=("): 1.0, ("phone", "cue phone"): 2.5,
+    **{("phone", f"digits={n}"): 1.5 for n in range(9, 16)},
     ("iban", "bias"): -4.0, ("iban", "mod 97"): 5.0,
 }
 
