@@ -25,10 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotlake.llm.common import freeze, keyed_text, map_batches
+from slotlake.llm.common import keyed_text, map_batches
 
 END = 1
 #: Ids of a shard, about: a shard is closed after the text that fills it.
@@ -36,7 +37,9 @@ SHARD_IDS = 1 << 18
 #: Rounds of replacement at most, and the count from which a pair is frequent.
 ROUNDS, FREQUENT = 8, 4
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 800_000
+#: Texts that are encoded at once.
+SLICE = 1000
 
 _SHARD = ("part int, first_id long, n_ids long, vocabulary int, docs binary, sizes binary, ends binary, left binary, right binary, "
           "lengths binary, sequence binary, null_docs binary")
@@ -53,62 +56,83 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _memory(path: str) -> dict[bytes, bytes]:
-    return {}
+def _memory(path: str) -> dict[str, bytes]:
+    return {"": b""}
 
 
-def _learn(path: str, known: dict[bytes, bytes], words: set[bytes]) -> None:
-    """Add the ids of new words. A word of letters and one mark behind it has the ids of both; the
-    other words are encoded many at a time and told apart by their places."""
-    plain: dict[bytes, str] = {}
+def _learn(path: str, known: dict[str, bytes], words: list[str]) -> None:
+    """Add the ids of new words. A word of letters and one mark behind it has the ids of both; words of
+    plain letters go to the merges as they are, in lower case; the other words are encoded many at a time
+    and told apart by their places."""
+    merges = tokenizer(path).model.tokenize
+    others: dict[str, None] = {}
     marked = []
+
+    def learn(word: str) -> None:
+        if word.isascii() and word.isalpha():
+            known[word] = np.array([t.id for t in merges(word.lower())], np.int32).tobytes()
+        else:
+            others[word] = None
+
     for word in words:
-        text = word.decode("utf-8", "surrogatepass")
-        if text[-1] in ".,;:!?" and text[:-1].isalpha():
-            marked.append((word, word[:-1], word[-1:]))
-            if word[:-1] not in known:
-                plain[word[:-1]] = text[:-1]
-            if word[-1:] not in known:
-                plain[word[-1:]] = text[-1]
+        core, mark = word[:-1], word[-1:]
+        if mark in ".,;:!?" and core.isalpha():
+            marked.append((word, core, mark))
+            for part in (core, mark):
+                if part not in known:
+                    learn(part)
         else:
-            plain[word] = text
-    new = list(plain.items())
+            learn(word)
+    new = list(others)
     for at in range(0, len(new), 8192):
         part = new[at:at + 8192]
-        encoded = tokenizer(path).encode(" ".join([text for _, text in part]), add_special_tokens=False)
-        ends = np.cumsum([len(text) + 1 for _, text in part])
+        encoded = tokenizer(path).encode(" ".join(part), add_special_tokens=False)
+        ends = np.cumsum([len(word) + 1 for word in part])
         place = np.searchsorted(ends, [a for a, _ in encoded.offsets], "right")
         cuts = np.searchsorted(place, np.arange(len(part) + 1))
         ids = np.array(encoded.ids, np.int32)
-        known.update((word, ids[a:b].tobytes()) for (word, _), a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
+        known.update((word, ids[a:b].tobytes()) for word, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
     known.update((word, known[core] + known[mark]) for word, core, mark in marked)
 
 
-def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text. The tokenizer drops white space and merges nothing across it, and its
-    normal form composes nothing with it, so the ids of a text are those of its words in a row;
-    words seen before come from memory."""
+def _copied(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` that begin at ``starts`` and have ``sizes``, one behind the other."""
+    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat[np.repeat(starts, sizes) + step]
+
+
+def encode_column(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, each with the end id behind it, and where each begins and the last ends.
+
+    The tokenizer drops white space and merges nothing across it, and its normal form composes nothing
+    with it, so the ids of a text are those of its words in a row. Every different word is looked up once;
+    words seen before come from memory.
+    """
     known = _memory(path)
     if len(known) > MEMORY:
         known.clear()
-    split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-    _learn(path, known, {word for words in split for word in words if word not in known})
-    end = np.array([END], np.int32).tobytes()
-    return [np.frombuffer(b"".join([known[w] for w in words]) + end, np.int32) for words in split]
-
+        known[""] = b""
+    words = pc.ascii_split_whitespace(texts)
+    coded = words.values.dictionary_encode()
+    different = coded.dictionary.to_pylist()
+    _learn(path, known, [w for w in different if w not in known])
+    parts = [known[w] for w in different]
+    sizes = np.array([len(p) // 4 for p in parts], np.int64)
+    which = coded.indices.to_numpy()
+    each = sizes[which]
+    ids = _copied(np.frombuffer(b"".join(parts), np.int32), (np.cumsum(sizes) - sizes)[which], each)
+    cuts = np.concatenate([[0], np.cumsum(each)])[words.offsets.to_numpy()]
+    offsets = cuts + np.arange(len(cuts))
+    out = np.empty(len(ids) + len(texts), np.int32)
+    is_end = np.zeros(len(out), np.bool_)
+    is_end[offsets[1:] - 1] = True
+    out[is_end], out[~is_end] = END, ids
+    return out, offsets
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` (little-endian, 32 bits, the end id included) and ``check``, their CRC-32."""
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids = [x.tobytes() for x in encode_texts(path, part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                ["doc_id", "ids", "check"])
 
-    rows = keyed_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_batches(rows, run, "doc_id long, ids binary, check long")
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    ids, offsets = encode_column(path, pa.array(texts, pa.string()))
+    return [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.ndarray, ...]:
@@ -169,9 +193,8 @@ def rule_lengths(left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.nda
     return out
 
 
-def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The ids of a sequence, of a whole shard or of one text."""
-    seq = seq.astype(np.int32)
+def _unfold(seq: np.ndarray, left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.ndarray:
+    """All rules replaced by their sides until only ids are left."""
     while (rule := seq >= vocabulary).any():
         at = np.cumsum(1 + rule) - 1  # last place of each symbol in the longer sequence
         out = np.empty(len(seq) + int(rule.sum()), np.int32)
@@ -182,6 +205,23 @@ def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, vocabulary: int
     return seq
 
 
+def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The ids of a sequence: every rule is unfolded once, then each use of it is copied by its length."""
+    rule = seq >= vocabulary
+    k = seq[rule] - vocabulary
+    used, which = np.unique(k, return_inverse=True)
+    flat = _unfold((used + vocabulary).astype(np.int32), left, right, vocabulary)
+    size = np.ones(len(seq), np.int64)
+    size[rule] = lengths[k]
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    out[ends[~rule] - 1] = seq[~rule]
+    n, begin = size[rule], ends[rule] - size[rule]
+    source = (np.cumsum(lengths[used]) - lengths[used])[which]
+    out[_copied(np.arange(len(out)), begin, n)] = _copied(flat, source, n)
+    return out
+
+
 def shard(part: int, first_id: int, docs: list[int | None], ids: list[np.ndarray], vocabulary: int) -> dict:
     whole = np.concatenate(ids)
     sizes = np.array([len(x) for x in ids], np.int32)
@@ -194,34 +234,66 @@ def shard(part: int, first_id: int, docs: list[int | None], ids: list[np.ndarray
             "null_docs": np.array([d is None for d in docs], np.bool_).tobytes()}
 
 
+def _bounds(docs: DataFrame, id_col: str, parts: int) -> np.ndarray:
+    """Ids that cut the texts into parts of about equal number, from a sketch of the ids alone."""
+    at = [i / parts for i in range(1, parts)]
+    found = docs.select(F.col(id_col).cast("double").alias("id")).stat.approxQuantile("id", at, 0.1 / parts) if at else []
+    return np.array(found, np.float64)
+
+
+def part_of(doc: int | None, check: int, bounds: np.ndarray) -> int:
+    """The part of a text; parts ascend with (id, checksum). An id that fills several parts, or a null one, is
+    spread over them by checksum."""
+    if doc is None:
+        low, high = len(bounds) + 1, 2 * len(bounds) + 1
+    else:
+        low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
+    return int(low + (int(high - low + (high > low)) * check >> 32)) if high > low else int(low)
+
+
 def write(docs: DataFrame, tokens: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts and write their shards to ``path``.
 
-    The encoded texts are written first: finding the ranges of ids reads them once more.
+    Texts are encoded where they are read; their ids, two bytes each where the vocabulary allows, are shuffled once.
     """
-    encoded = freeze(encode(docs, tokens, id_col, text_col), "encoded")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("check")]
-    ranged = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    bounds = _bounds(docs, id_col, parts)
 
-    def run(batches):
-        from pyspark import TaskContext
+    def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        vocabulary = tokenizer(tokens).get_vocab_size()
+        narrow = np.uint16 if vocabulary <= 1 << 16 else np.int32
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            docs_ = part.column("doc_id")
+            ids, offsets = encode_column(tokens, part.column("text"))
+            packed = [ids[a:b].astype(narrow).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            checks = [zlib.crc32(x) for x in packed]
+            where = [part_of(d, c, bounds) for d, c in zip(docs_.to_pylist(), checks)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where, pa.int32()), docs_, pa.array(checks, pa.int64()), pa.array(packed, pa.binary())],
+                ["part", "doc_id", "check", "packed"])
 
-        part, first = TaskContext.get().partitionId(), 0
+    def shards(batches):
         vocabulary = tokenizer(tokens).get_vocab_size()
-        docs_, ids, n = [], [], 0
+        narrow = np.uint16 if vocabulary <= 1 << 16 else np.int32
+        at, first, docs_, ids, n = None, 0, [], [], 0
         for batch in batches:
-            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for part, doc, blob in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("packed")):
+                if docs_ and (part != at or n >= SHARD_IDS):
+                    yield _row(shard(at, first, docs_, ids, vocabulary))
+                    first, docs_, ids, n = first + n, [], [], 0
+                if part != at:
+                    at, first = part, 0
                 docs_.append(doc)
-                ids.append(np.frombuffer(blob.as_buffer(), np.int32))
+                ids.append(np.frombuffer(blob.as_buffer(), narrow).astype(np.int32))
                 n += len(ids[-1])
-                if n >= SHARD_IDS:
-                    yield _row(shard(part, first, docs_, ids, vocabulary))
-                    first, docs_, ids, n = first + n, [], [], 0
         if docs_:
-            yield _row(shard(part, first, docs_, ids, vocabulary))
+            yield _row(shard(at, first, docs_, ids, vocabulary))
 
-    ranged.mapInArrow(run, _SHARD).write.parquet(path)
+    rows = keyed_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    packed = map_batches(rows, pack, "part int, doc_id long, check long, packed binary").repartition(parts, "part")
+    ordered = packed.sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "check")
+    ordered.mapInArrow(shards, _SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def _row(fields: dict) -> pa.RecordBatch:
@@ -240,13 +312,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for row in batch.to_pylist():
             yield texts_of(row)
 
-    texts = map_batches(shards.drop("n_ids", "lengths", "ends"), run, "part int, doc_id long, place long, ids binary")
+    texts = map_batches(shards.drop("n_ids", "ends"), run, "part int, doc_id long, place long, ids binary")
     return texts.join(F.broadcast(starts), "part").select("doc_id", (F.col("part_start") + F.col("place")).alias("start"), "ids")
 
 
 def texts_of(row: dict) -> pa.RecordBatch:
     left, right = np.frombuffer(row["left"], np.int32), np.frombuffer(row["right"], np.int32)
-    ids = expand(np.frombuffer(row["sequence"], np.int32), left, right, row["vocabulary"])
+    lengths = np.frombuffer(row["lengths"], np.int32)
+    ids = expand(np.frombuffer(row["sequence"], np.int32), left, right, lengths, row["vocabulary"])
     ends = np.cumsum(np.frombuffer(row["sizes"], np.int32))
     starts = np.concatenate([[0], ends[:-1]])
     docs = np.frombuffer(row["docs"], np.int64)
@@ -261,7 +334,8 @@ def text_at(row: dict, k: int) -> np.ndarray:
     """The ids of the ``k``-th text of a shard, without expanding the others."""
     ends = np.frombuffer(row["ends"], np.int32)
     seq = np.frombuffer(row["sequence"], np.int32)[ends[k - 1] if k else 0:ends[k]]
-    return expand(seq, np.frombuffer(row["left"], np.int32), np.frombuffer(row["right"], np.int32), row["vocabulary"])
+    parts = [np.frombuffer(row[c], np.int32) for c in ("left", "right", "lengths")]
+    return expand(seq, *parts, row["vocabulary"])
 
 
 def id_at(row: dict, place: int) -> int:
