@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -185,13 +186,16 @@ def events(text: str, stems: tuple[str, ...]) -> Counter:
         if (start == 0 or not text[start - 1].isalpha()) and not (complete and text[end + 1:end + 2].isalpha()):
             hits[start] = kind
     out: Counter = Counter()
-    done = -1
+    if not hits:
+        return out
+    # clause ends and hits in one walk: a clause is read whole, however long it is
+    ends = chain((m.start() for m in _CLAUSE_END.finditer(text)), [len(text)])
+    begin, done = 0, -1
     for start in sorted(hits):
         if start < done:
             continue
-        begin = max((m.end() for m in _CLAUSE_END.finditer(text, max(0, start - 200), start)), default=max(0, start - 200))
-        stop = _CLAUSE_END.search(text, start)
-        done = stop.start() if stop else len(text)
+        while done < start:
+            begin, done = done + 1, next(ends)
         symbols = [hits.get(m.start()) or whole.get(m.group(), OTHER) for m in _WORD.finditer(text, begin, done)]
         out.update(grammar().run(symbols))
     return out

@@ -99,6 +99,16 @@ def test_clauses_not_words():
     assert toxicity.score_text("idiotes trashy", model) == toxicity.score_text("", model) == toxicity.score_text("fine words", model)
 
 
+@pytest.mark.parametrize("n", [1, 30, 300, 3000])
+def test_a_clause_is_read_from_its_start(n):
+    """A report word is seen however far the insult behind it is, and whatever stood before the clause."""
+    for before in ("", "Fine. ", "idiot, "):
+        text = before + "she said that" + " word" * n + " he is a moron and a loser"
+        want = {"quoted insult": 2} | ({"insult": 1} if "idiot" in before else {})
+        assert dict(toxicity.events(text, ())) == want
+    assert dict(toxicity.events("said, " + "word " * n + "moron. moron", ())) == {"insult": 2}
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = B.awkward(spark)
     labels = spark.createDataFrame([(4, 1), (4, None), (None, 1), (8, 0), (99, 1), (10, None)], "doc_id long, toxic int")
