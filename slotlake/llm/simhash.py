@@ -42,17 +42,21 @@ DISTANCE = 2
 CELL_BITS, CHECKS, CROWD = 2, 16, 32
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words; a shorter text is one run, no words are none."""
     words = words_of(text)
     words = b" ".join(words).lower().split(b" ") if words else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) > shingle:
         pieces = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
     else:
         pieces = [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, SEED) for p in pieces], np.uint64)
+    return np.array([digest(p, SEED) for p in pieces], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -60,6 +64,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return _majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id``, ``mark`` (a hash of the text) and ``fp``, the 64 bits as a signed number.
     ``bytes.lower`` lowers A-Z and nothing else."""
@@ -147,27 +155,38 @@ def near_classes(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs(small, distance).unionByName(midpoint_links(crowd))
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, mark, fp and component_id, the smallest id reachable by links."""
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per row of ``docs``: doc_id, mark, fp, ``root``, the fingerprint that stands for its component,
+    and component_id, the smallest id reachable by links."""
     prints = freeze(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = freeze(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     links = near_classes(classes.select("fp"))
     linked = components(links).withColumnsRenamed({"node": "fp", "component": "root"})
     ids = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = freeze(ids.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
-    named = freeze(ids.join(roots, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", "mark", "fp", "component_id")
+    named = freeze(ids.join(roots, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(named, "fp").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per row of ``docs``: doc_id, mark, fp and component_id, the smallest id reachable by links."""
+    return rooted(docs, id_col, text_col, shingle).drop("root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, one of each component: the one whose id names it. Of repeated rows with
-    that id one stays, by a hash of their contents."""
-    found = link(docs, id_col, text_col, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    texts = found.groupBy("doc_id", "mark").agg(F.count("*").alias("rows"))
-    chosen = freeze(texts.groupBy("doc_id").agg(F.min(F.struct("mark", "rows")).alias("m")).select("doc_id", "m.*"), "kept")
+    """The rows of ``docs``, one of each component: the one whose id names it."""
+    return one_of_each(docs, rooted(docs, id_col, text_col, shingle), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one for each ``root`` of ``found`` (doc_id, mark, root): the smallest id, and where no
+    row has an id the smallest mark. Of repeated rows with that id and text one stays, by a hash of their contents."""
+    texts = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "rows"))
+    chosen = freeze(texts.groupBy("root").agg(first.alias("m")).select("m.doc_id", "m.mark", "m.rows"), "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
     kept = keyed.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("mark")))
     once = kept.where("rows = 1").select("row")
-    again = kept.where("rows > 1").groupBy("doc_id").agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    again = kept.where("rows > 1").groupBy("doc_id", "mark").agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
     return once.unionByName(again).select("row.*")

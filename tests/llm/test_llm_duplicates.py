@@ -122,6 +122,13 @@ def test_keep_one_leaves_one_row_of_each_component(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter(want)
 
 
+def test_keep_one_loses_no_row_without_an_own_id(spark):
+    """Null and repeated ids with unrelated texts: each text is a component and stays."""
+    rows = [(d, " ".join(f"{c}{i}" for i in range(30))) for d, c in [(None, "p"), (None, "q"), (None, "q"), (7, "r"), (7, "s"), (8, "s"), (9, "t")]]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert B.counted(got) == B.counted([rows[0], rows[1], rows[3], rows[4], rows[6]])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 300)] + [(1000, 1001), (7000, 7000)]
