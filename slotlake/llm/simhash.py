@@ -16,6 +16,9 @@ members are linked over midpoints instead: fingerprints differ in two bits or fe
 a fingerprint that differs from each in one bit or none, so each member is listed under its 65 midpoints
 and linked to the smallest listed there. That is linear in the members and just as exact.
 
+``similar`` and ``keep_one_similar`` compare five-word shingles by exact Jaccard similarity instead: that is
+what the pipeline's stage takes as near copies, far wider than two bits.
+
 Null and empty texts have the fingerprint zero and are linked like any other. Repeated rows share a
 class. No rows: no rows.
 """
@@ -34,12 +37,18 @@ from pyspark.sql import functions as F
 
 from slotlake.llm.common import freeze, keyed_text, map_batches, words_of
 from slotlake.llm.components import components
+from slotlake.llm.exact_dedup import mark_members
 
 SEED, BITS = 42, 64
 #: Differing bits of a link.
 DISTANCE = 2
 #: Bits of a cell, check references, and classes of a bucket that are still compared pair by pair.
 CELL_BITS, CHECKS, CROWD = 2, 16, 32
+#: Near copies by similarity: words of a shingle, the least Jaccard similarity as a fraction, and the bits in
+#: which fingerprints may differ. At 0.8 they differ in 10 on average, by 3; a link is lost with a chance of some 10^-6.
+WORDS, PART, WHOLE, REACH = 5, 4, 5, 24
+#: Texts that the order of shingles is drawn from, and shingles in it.
+ORDER_ROWS, COMMON = 4000, 100_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -190,3 +199,115 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     once = kept.where("rows = 1").select("row")
     again = kept.where("rows > 1").groupBy("doc_id", "mark").agg(F.max_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
     return once.unionByName(again).select("row.*")
+
+
+# Near copies by similarity: word shingles, Jaccard
+
+def shingle_sets(docs: DataFrame, common: dict[int, int], id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """``doc_id``, ``mark``, ``key`` (a hash of the set of shingles), ``n`` shingles, ``fp`` and ``prefix``.
+
+    In any order of all shingles, two sets of Jaccard ``PART / WHOLE`` or more share one of the first
+    ``n - ceil(n * PART / WHOLE) + 1`` of either. The order is by how often ``common`` has a shingle, then
+    by hash, so that the prefixes are rare ones.
+    """
+    names = np.array(sorted(common), np.int64)
+    times = np.array([common[k] for k in names.tolist()], np.int64)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, sizes, prints, prefixes = [], [], [], []
+        for text in batch.column("text"):
+            found = np.unique(shingle_hashes(text.as_py(), shingle))
+            signed, n = found.view(np.int64), len(found)
+            often = np.zeros(n, np.int64)
+            if len(names) and n:
+                at = np.minimum(np.searchsorted(names, signed), len(names) - 1)
+                often = np.where(names[at] == signed, times[at], 0)
+            length = n - -(-n * PART // WHOLE) + 1 if n else 0
+            keys.append(_signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)))
+            sizes.append(n)
+            prints.append(_signed(_majority(found)))
+            prefixes.append(signed[np.lexsort((signed, often))[:length]])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("mark"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
+             pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "n", "fp", "prefix"])
+
+    rows = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return map_batches(rows, run, "doc_id long, mark long, key long, n long, fp long, prefix array<long>")
+
+
+def common_shingles(docs: DataFrame, text_col: str = "text", shingle: int = WORDS) -> dict[int, int]:
+    """Shingles that several of about ``ORDER_ROWS`` texts have, the ``COMMON`` most frequent. They only decide the
+    order of the prefixes, which changes the work and never the links."""
+    every = max(1, docs.count() // ORDER_ROWS)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for text in batch.column("text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64))], ["h"])
+
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counts = map_batches(texts, run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return {r.h: r.n for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()}
+
+
+def _may_link(a: str, b: str, distance: int) -> Column:
+    """Sizes that allow the similarity, and fingerprints in reach."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return ((F.least(na, nb) * WHOLE >= F.greatest(na, nb) * PART)
+            & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """The pairs (a, b) of keys whose sets of shingles have the similarity. Only texts of pairs are read for
+    their sets, found through a Bloom filter of their marks."""
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    marks = freeze(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("h")), "pair_marks")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for text in batch.column("text"):
+            found = np.unique(shingle_hashes(text.as_py(), shingle))
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))], pa.int64()),
+                                              pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["key", "shingles"])
+
+    sets = map_batches(mark_members(texts, marks.select("h")).where("suspect").select("text"), run, "key long, shingles array<long>")
+    sets = freeze(sets.dropDuplicates(["key"]), "shingle_sets")
+    both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a")), "a")
+            .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b")), "b"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    # shared / (|a| + |b| - shared) >= PART / WHOLE
+    return freeze(both.where(shared * (PART + WHOLE) >= (F.size("_a") + F.size("_b")) * PART).select("a", "b"), "similar")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, distance: int = REACH) -> DataFrame:
+    """One row per row of ``docs``: doc_id, mark and ``root``, the same for texts that links connect. A link is a Jaccard
+    similarity of word shingles of ``PART / WHOLE`` or more, among pairs within ``distance`` bits.
+
+    Candidates share a shingle of their prefixes, which loses no pair; sizes and fingerprints discard; the
+    sets decide. Under each shingle all are first compared with one, so that large groups grow together in
+    linear work; then only pairs of different groups are compared.
+    """
+    rows = freeze(shingle_sets(docs, common_shingles(docs, text_col, shingle), id_col, text_col, shingle), "prefixes")
+    shared = freeze(rows.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    posted = rows.select(F.explode("prefix").alias("h"), "key", "n", "fp")
+    posted = freeze(mark_members(posted, shared).where("suspect").drop("suspect").distinct(), "postings")
+    lead = freeze(posted.groupBy("h").agg(F.min_by(F.struct("key", "n", "fp"), F.xxhash64("key", "h")).alias("y")), "leaders")
+    x = posted.select("h", F.struct("key", "n", "fp").alias("x"))
+    first = freeze(x.join(lead, "h").where("x.key <> y.key").where(_may_link("x", "y", distance))
+                   .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "candidates")
+    links = verified(first, docs, rows, text_col, shingle)
+    group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
+    placed = freeze(posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    open_ = freeze(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "open")
+    left = freeze(placed.join(open_, "h", "left_semi"), "open_postings")
+    x, y = (left.select("h", F.struct("key", "n", "fp", "root").alias(side)) for side in ("x", "y"))
+    rest = (x.join(y, "h").where("x.root < y.root").where(_may_link("x", "y", distance))
+            .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
+    rest = freeze(rest.join(first, ["a", "b"], "left_anti"), "candidates")
+    links = links.unionByName(verified(rest, docs, rows, text_col, shingle))
+    group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
+    return rows.join(group, "key", "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, one of each group of ``similar`` texts."""
+    return one_of_each(docs, similar(docs, id_col, text_col, shingle), id_col, text_col)

@@ -129,6 +129,40 @@ def test_keep_one_loses_no_row_without_an_own_id(spark):
     assert B.counted(got) == B.counted([rows[0], rows[1], rows[3], rows[4], rows[6]])
 
 
+def five_words(text):
+    ws = B.WORD.findall((text or "").lower())
+    return frozenset(tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
+
+
+def similar_rows(rows):
+    """Brute force: rows of the smallest id of each component under Jaccard 0.8 of five-word shingles."""
+    sets = [five_words(t) for _, t in rows]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    roots = B.classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])])
+    least = {}
+    for (d, t), r in zip(rows, roots):
+        row = (d is None, d or 0, t or "")
+        least[r] = min(least.get(r, row), row)
+    return [(None if none else d, t) for none, d, t in least.values()]
+
+
+def test_similar_keeps_one_by_jaccard(spark, docs_dir, doc_rows):
+    """Near copies of many distances around a few texts, chains of them, unrelated texts, null ids, and the documents."""
+    draw = np.random.default_rng(11)
+    rows = [(None, None), (901, ""), (902, "One two"), (903, "one TWO"), (904, "one three")]
+    for c in range(6):
+        words = [f"{c}w{i}" for i in range(int(draw.integers(40, 160)))]
+        for k in range(25):
+            for at in draw.integers(0, len(words), int(draw.integers(0, 4))):
+                words = words[:at] + [f"x{draw.integers(10**9)}"] + words[at + 1:]
+            rows.append((100 * c + k, " ".join(words)))
+    rows.append((None, " ".join(f"y{i}" for i in range(20))))
+    rows += sorted({t: (1000 + d, t) for d, t, _ in doc_rows if t}.values())
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = similar_rows(rows)
+    assert B.counted((r.doc_id, r.text or "") for r in got) == B.counted(want) and len(want) < len(rows) - 50
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 300)] + [(1000, 1001), (7000, 7000)]
