@@ -45,7 +45,8 @@ DISTANCE = 2
 #: Bits of a cell, check references, and classes of a bucket that are still compared pair by pair.
 CELL_BITS, CHECKS, CROWD = 2, 16, 32
 #: Near copies by similarity: words of a shingle, the least Jaccard similarity as a fraction, and the bits in
-#: which fingerprints may differ. At 0.8 they differ in 10 on average, by 3; a link is lost with a chance of some 10^-6.
+#: which fingerprints may differ. At 0.8 they differ in 10 on average, by 3:
+#: by the binomial a link is lost with a chance of 3 * 10^-6, between sets of 4 and 5 shingles, where votes tie, 10^-4.
 WORDS, PART, WHOLE, REACH = 5, 4, 5, 24
 #: Texts that the order of shingles is drawn from, and shingles in it.
 ORDER_ROWS, COMMON = 4000, 100_000
