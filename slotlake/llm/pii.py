@@ -18,6 +18,7 @@ prior weights.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ KINDS = (*BASE_KINDS, "iban")
 #: Texts the weights are learned from at most, and characters read around each candidate there.
 TRAIN_DOCS, TRAIN_REACH, EPOCHS = 2000, 80, 5
 MOST_PIECES = 8
+#: Characters of a run of numbers that is a candidate.
+LEAST_RUN = 7
 #: Kinds a candidate of each shape can be.
 SHAPES = {"number": ("ip", "card", "phone"), "account": ("iban",), "spelled": ("email",), "address": ("email",)}
 #: Weights before learning; shapes that the patterns never accept keep these.
@@ -111,7 +114,7 @@ def _pieces(text: str) -> list[tuple[list[tuple[int, int]], str]]:
     out = []
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
-            if m.end() - m.start() >= 7:
+            if m.end() - m.start() >= LEAST_RUN:
                 cuts = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[+(]?[0-9]+", m.group())]
                 out.append((cuts, "number"))
         out += [([m.span()], "account") for m in _IBAN.finditer(text)]
@@ -145,12 +148,42 @@ def _features(text: str, start: int, end: int, shape: str) -> list[str]:
     return out
 
 
+def _runs(cuts: list[tuple[int, int]], shape: str, walls: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """The pieces of a candidate parted at the walls (disjoint, in order); pieces that a wall touches are left out.
+    A run of numbers is a candidate from the length on that a match needs."""
+    def walled(start: int, end: int) -> bool:
+        at = bisect_right(walls, start, key=lambda w: w[1])
+        return at < len(walls) and walls[at][0] < end
+
+    runs: list[list[tuple[int, int]]] = [[]]
+    last = cuts[0][0]
+    for start, end in cuts:
+        if walled(last, end):
+            runs.append([])
+        if not walled(start, end):
+            runs[-1].append((start, end))
+        last = end
+    for run in runs:
+        if run and (shape != "number" or run[-1][1] - run[0][0] >= LEAST_RUN):
+            yield run
+
+
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Disjoint stretches that the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def best(text: str, weights: dict[tuple[str, str], float], walls: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
     """The segments of the highest total score; outside a segment nothing is scored."""
     chosen = []
-    for cuts, shape in _pieces(text):
-        if any(a < cuts[-1][1] and b > cuts[0][0] for a, b, _ in walls):
-            continue
+    merged = _merged(walls)
+    for cuts, shape in ((run, shape) for cuts, shape in _pieces(text) for run in _runs(cuts, shape, merged)):
         score, back = [0.0] * (len(cuts) + 1), [None] * (len(cuts) + 1)
         for j in range(1, len(cuts) + 1):
             score[j], back[j] = score[j - 1], None

@@ -244,6 +244,33 @@ def test_field_finds_what_no_pattern_accepts():
     assert all(not pii.best(t, weights) for t in ("order 12345678", "card 4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00"))
 
 
+@pytest.mark.parametrize("text, more", [
+    ("tel (020) 7946 0958 10.0.0.1", ["(020) 7946 0958"]), ("tel 10.0.0.1 (020) 7946 0958", ["(020) 7946 0958"]),
+    ("10.0.0.1 10.0.0.2 10.0.0.3", []),
+])
+def test_field_goes_on_beside_base_spans(text, more):
+    base = pii.base_spans(text)
+    got = pii.best(text, pii.learn([]), base)
+    assert [text[a:b] for a, b, _ in got] == more and all(a >= y or b <= x for a, b, _ in got for x, y, _ in base)
+
+
+def test_runs_between_walls_at_random():
+    """Runs against a plain walk: pieces that no wall touches, parted wherever a wall stands between."""
+    draw = np.random.default_rng(12)
+    for _ in range(3000):
+        cuts = [(3 * i, 3 * i + 2) for i in range(int(draw.integers(1, 12)))]
+        walls = pii._merged([(int(a), int(a + draw.integers(1, 9)), "") for a in draw.integers(0, 36, draw.integers(0, 4))])
+        want, run, last = [], [], 0
+        for a, b in cuts:
+            if any(x < b and y > last for x, y in walls) and run:
+                want, run = [*want, run], []
+            if not any(x < b and y > a for x, y in walls):
+                run = [*run, (a, b)]
+            last = b
+        want = [r for r in [*want, run] if r]
+        assert list(pii._runs(cuts, "account", walls)) == want, (cuts, walls)
+
+
 def test_personal_query(spark, docs_dir, doc_rows):
     want = []
     for d, t, _ in doc_rows:
