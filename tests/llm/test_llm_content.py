@@ -244,6 +244,50 @@ def test_field_finds_what_no_pattern_accepts():
     assert all(not pii.best(t, weights) for t in ("order 12345678", "card 4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00"))
 
 
+ADDED = [("IBAN DE89 3704 0044 0532 0130 00 ok", "DE89 3704 0044 0532 0130 00", "iban"), ("ann (at) example (dot) org", "ann (at) example (dot) org", "email"),
+         ("call (274) 555-9629 now", "(274) 555-9629", "phone"), ("tel 030 1234567 x", "030 1234567", "phone")]
+
+
+def test_fitted_field_finds_what_no_pattern_accepts(spark):
+    """Fitted on texts that hold such data, and on many numbers before an address: it is not learned against."""
+    rows = []
+    for i in range(300):
+        rows += [f"call (2{i % 90 + 10}) 555-{1000 + 7 * i} now", f"tel 030 {1000000 + 77 * i} x", f"u{i} (at) example (dot) org",
+                 f"IBAN DE89 3704 0044 0532 0130 00 of {i}", f"call +1 (2{i % 90 + 10}) 555-{1000 + 7 * i} now", f"host 10.0.{i % 200}.1 up",
+                 f"card 4111 1111 1111 1111 {i}", f"card 4111 1111 1111 1112 no {i}", f"order 2020-01-{10 + i % 20} u{i}@example.org"]
+    weights = pii.fit(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    for text, span, kind in ADDED:
+        assert [(text[a:b], k) for a, b, k in pii.best(text, weights)] == [(span, kind)], text
+    assert all(not pii.best(t, weights) for t in ("order 12345678", "card 4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00", "host 10.0.300.1"))
+    assert pii.best("card 4111 1111 1111 1111", weights) == [(5, 24, "card")] and pii.best("host 10.0.0.1", weights) == [(5, 13, "ip")]
+
+
+def test_forward_sums_are_those_of_all_segmentations():
+    draw = np.random.default_rng(13)
+    for text in ("call 555 123 4567 89 now", "tel +1 (274) 555-9629 10.0.0.1 x"):
+        for n, segments, possible, outside in pii._lattices(text):
+            scores = draw.standard_normal(len(segments)).tolist()
+
+            def ways(at, ok, out):
+                if at == n:
+                    yield 0.0, ()
+                    return
+                if out[at]:
+                    yield from ways(at + 1, ok, out)
+                for k, (i, j, _, _) in enumerate(segments):
+                    if i == at and ok[k]:
+                        yield from ((s + scores[k], (k, *used)) for s, used in ways(j, ok, out))
+
+            for ok, out in ((possible, outside), ([True] * len(segments), [True] * n)):
+                if n > 6:
+                    continue
+                every = list(ways(0, ok, out))
+                total = sum(np.exp(s) for s, _ in every)
+                whole, chances = pii._chances(n, segments, scores, ok, out)
+                assert whole == pytest.approx(np.log(total))
+                assert chances == pytest.approx([sum(np.exp(s) for s, used in every if k in used) / total for k in range(len(segments))])
+
+
 @pytest.mark.parametrize("text, more", [
     ("tel (020) 7946 0958 10.0.0.1", ["(020) 7946 0958"]), ("tel 10.0.0.1 (020) 7946 0958", ["(020) 7946 0958"]),
     ("10.0.0.1 10.0.0.2 10.0.0.3", []),
