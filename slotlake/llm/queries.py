@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotlake.llm import (
-    byte_bpe, embedding_dedup, exact_dedup, mixture, pii, secret_scan, simhash, substring_dedup, token_shards, toxicity,
+    byte_bpe, embedding_dedup, exact_dedup, mixture, pii, secret_scan, sentence_pieces, simhash, substring_dedup,
+    token_shards, toxicity,
 )
 from slotlake.llm.common import hex_of, new_path
 
@@ -109,3 +110,13 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return _span_report(pii.find(docs, pii.fit(docs)), pii.BASE_KINDS)
+
+
+@query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentence_pieces.decode(sentence_pieces.encode(documents(spark, sf_dir), model), model)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), sentence_pieces.covered(F.col("bounds")).alias("covered_bytes"))
