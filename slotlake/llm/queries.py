@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotlake.llm import (
-    byte_bpe, embedding_dedup, exact_dedup, mixture, pii, secret_scan, sentence_pieces, simhash, substring_dedup,
-    token_shards, toxicity,
+    byte_bpe, embedding_dedup, exact_dedup, mixture, pii, secret_scan, sentence_pieces, simhash, spelling,
+    substring_dedup, token_shards, toxicity,
 )
 from slotlake.llm.common import hex_of, new_path
 
@@ -120,3 +120,8 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), sentence_pieces.covered(F.col("bounds")).alias("covered_bytes"))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir), noise=199))
