@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotlake.llm import (
-    byte_bpe, embedding_dedup, exact_dedup, mixture, pii, secret_scan, sentence_pieces, simhash, spelling,
-    substring_dedup, token_shards, toxicity,
+    byte_bpe, embedding_dedup, exact_dedup, mixture, phrases, pii, secret_scan, sentence_pieces, simhash,
+    spelling, substring_dedup, token_shards, toxicity,
 )
 from slotlake.llm.common import hex_of, new_path
 
@@ -125,3 +125,37 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(documents(spark, sf_dir), noise=199))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+ORACLES["op13_phrases"] = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM documents),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+          FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE i + size - 1 <= len(words)),
+counts AS (SELECT lang, phrase, size, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, n,
+           (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+    FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c
+    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(words[1:k], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(words[k + 1:], ' ')
+    JOIN totals t ON t.lang = c.lang),
+best AS (
+    SELECT * FROM cuts c WHERE NOT EXISTS (
+        SELECT 1 FROM counts b WHERE b.lang = c.lang AND b.size > len(string_split(c.phrase, ' '))
+        AND 100 * b.f >= 100 * c.a AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER same AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best WINDOW same AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY rank <= 2000
+"""
