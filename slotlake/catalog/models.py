@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from slotlake import constants as K
 from slotlake.catalog import roles
 from slotlake.catalog.registry import query, r6, table
+from slotlake.catalog.tables import EVENT_FEATURES_SQL
 from slotlake.config import MEAL_BANDS, TWO_BANDS, Band, BoostSettings, Choice, ForestSettings, Whole, resolve_granularity
-from slotlake.operators import split
+from slotlake.operators import evaluate, split
 from slotlake.operators.cleaning import fill_numeric, numeric_columns
-from slotlake.plans import etl, scoring, training
+from slotlake.plans import boosting, etl, linear, scoring, training
 from slotlake.schema import BOOKING_RECORD
 from slotlake.session import freeze, new_path
 from slotlake.sources import payload
@@ -69,11 +70,11 @@ def ols_simple(spark, sf):
         r6(F.regr_r2(y, x)).alias("r2"))
 
 
-@query("linear_regression", """
+@query("linear_closed_form", """
 SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity) * stddev_pop(l_quantity), 3) AS coefficient,
        count(*) AS n_predicted, round(sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / count(*)), 3) AS rmse
 FROM lineitem""")
-def linear_regression(spark, sf):
+def linear_closed_form(spark, sf):
     """Least squares on one input, where slope and error have a closed form."""
     rows = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity")
     model = training.fit_linear(rows, "l_extendedprice", ["l_quantity"])
@@ -83,6 +84,30 @@ def linear_regression(spark, sf):
     return model.coefficients().select("feature", F.round("coefficient", 3).alias("coefficient")).crossJoin(fit)  # one row each
 
 
+@query("linear_regression", f"""
+WITH {EVENT_FEATURES_SQL}, train AS (SELECT * FROM feat WHERE NOT {roles.is_test_sql('booking_id')}),
+levels AS (SELECT count(DISTINCT dining_purpose) + count(DISTINCT booked_by_gender) + count(DISTINCT account_gender)
+                  + count(DISTINCT CASE WHEN booking_hour <> 0 THEN booking_hour END)
+                  + count(DISTINCT CASE WHEN weekday <> 1 THEN weekday END) + count(DISTINCT popular_hour) AS n FROM train)
+SELECT count(*) AS n_train, (SELECT count(*) FROM feat) - count(*) AS n_predicted,
+       19 + (SELECT n FROM levels) AS n_coefficients, true AS balanced, true AS orthogonal, true AS sound FROM train""")
+def linear_regression(spark, sf):
+    """Seconds of the day on all features, one-hot and scaled, fitted on the training rows, judged on the others. The
+    residuals of the training rows add up to zero in every level, and with every number."""
+    df, target = feature_rows(spark, sf), "reservation_seconds"
+    features = training.candidate_features(df, target, (), ["booking_id"])
+    train, test = split.split_random(df, "booking_id")
+    model = linear.fit_least_squares(train, target, features)
+    zero = F.bool_and(F.abs("total") <= 1e-7 * F.col("size"))
+    sums = linear.residual_sums(model, train, target).groupBy(F.col("level").isNotNull().alias("l")).agg(zero.alias("zero"))
+    zeros = {r.l: r.zero for r in sums.collect()}
+    predicted = freeze(model.predict(test).select(target, "prediction"), "predicted")
+    fit = evaluate.regression_metrics(predicted, target, "prediction")
+    return predicted.agg(F.count("prediction").alias("n_predicted")).crossJoin(fit).select(  # one row each
+        F.lit(model.n_rows).cast("long").alias("n_train"), "n_predicted", F.lit(model.coefficients().count()).cast("long").alias("n_coefficients"),
+        F.lit(zeros[True]).alias("balanced"), F.lit(zeros[False]).alias("orthogonal"), ((F.col("rmse") > 0) & (F.col("r2") <= 1)).alias("sound"))
+
+
 # --- classifiers and regressors -----------------------------------------------------------------------
 
 _BANDS_SQL = f"SELECT subset, count(*) AS n, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE is_test AND subset <> '_unmatched' GROUP BY subset"
@@ -143,6 +168,53 @@ def ordinal_slot_regression(spark, sf):
     return training.predict_slots(model, test).agg(F.count(slot).alias("n"), F.bool_and(slot.between(0, 47)).alias("sound"))
 
 
+@query("softmax_boosting", f"""
+WITH classes AS (SELECT subset, slot, count(*) AS k FROM ({roles.SLOTTED_SQL}) WHERE NOT is_test AND subset <> '_unmatched' GROUP BY ALL),
+train AS (SELECT subset, CAST(sum(k) AS BIGINT) AS n_train, round(ln(sum(k)) - sum(k * ln(k)) / sum(k), 6) AS first_loss FROM classes GROUP BY subset)
+SELECT t.subset, n_train, first_loss, n, true AS falls, true AS shares
+FROM train t JOIN ({_BANDS_SQL}) b ON t.subset = b.subset""")
+def softmax_boosting(spark, sf):
+    """One loss over all slots of a band. It starts as the entropy of the slots and falls every round; the probabilities
+    of every test row are shares of one."""
+    df, parts = feature_rows(spark, sf), []
+    for band in MEAL_BANDS:
+        train, test = split.split_random(_band_rows(df, band), "booking_id")
+        model = boosting.fit_softmax(train, TARGET, model_features(df), BOOST)
+        losses = model.losses()
+        falls = len(losses) > 1 and all(b < a for a, b in zip(losses, losses[1:]))
+        p = F.col("probabilities")
+        one = F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+        parts.append(model.probabilities(test).agg(
+            F.lit(band.name).alias("subset"), F.lit(sum(model.rounds[0].rows[0])).alias("n_train"), r6(F.lit(losses[0])).alias("first_loss"),
+            F.count("*").alias("n"), F.lit(falls).alias("falls"), F.bool_and(one & F.forall(p, lambda x: x.between(0, 1))).alias("shares")))
+    return reduce(DataFrame.unionByName, parts).select("subset", F.col("n_train").cast("long").alias("n_train"), "first_loss", "n", "falls", "shares")
+
+
+@query("absolute_boosting", f"""
+WITH train AS (SELECT slot, median(slot) OVER () AS middle FROM ({roles.SLOTTED_SQL}) WHERE NOT is_test)
+SELECT count(*) AS n_train, round(avg(abs(slot - middle)), 6) AS first_error, true AS falls, true AS medians,
+       (SELECT count(*) FROM ({roles.SLOTTED_SQL}) WHERE is_test) AS n, true AS slots FROM train""")
+def absolute_boosting(spark, sf):
+    """Slots by absolute error. The first error is that of the median slot and never rises; each leaf adds the
+    exact median of what is left in it, here compared with the engine's own; predictions are slots."""
+    df = feature_rows(spark, sf)
+    features = training.candidate_features(df, TARGET, K.TIME_SIBLINGS, ["booking_id"])
+    train, test = split.split_random(df, "booking_id")
+    same = []
+
+    def compare(rows, done):
+        left = F.col("label") - F.get("scores", F.lit(0))
+        own = rows.groupBy(F.get("_leaves", F.lit(0)).alias("leaf")).agg(F.percentile(left, F.lit(0.5)).alias("m"))
+        same.extend(abs(done.values[0][r.leaf] - r.m) < 1e-9 for r in own.collect())  # one row a leaf
+
+    model = boosting.fit_absolute(train, TARGET, features, BOOST, compare)
+    losses, slot = model.losses(), F.col("prediction")
+    falls = all(b <= a for a, b in zip(losses, losses[1:]))
+    return boosting.predict_slots(model, test).agg(
+        F.lit(sum(model.rounds[0].rows[0])).cast("long").alias("n_train"), r6(F.lit(losses[0])).alias("first_error"), F.lit(falls).alias("falls"),
+        F.lit(all(same)).alias("medians"), F.count(slot).alias("n"), F.bool_and(slot.between(0, 47)).alias("slots"))
+
+
 @query("feature_importance", f"""
 SELECT DISTINCT subset, CAST(25 AS BIGINT) AS n_features, 1.0::DOUBLE AS total FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched'""")
 def feature_importance(spark, sf):

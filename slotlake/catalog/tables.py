@@ -160,8 +160,11 @@ def features_ready(spark, sf):
         holidays=roles.HOLIDAYS_1998))
 
 
+EVENT_FEATURES_SQL = f"{star_sql(roles.EVENT_BOOKINGS_SQL)}, {_venue_sql()}, {_features_sql(roles.HOLIDAYS_2024)}"
+
+
 @query("features_ready_events", f"""
-WITH {star_sql(roles.EVENT_BOOKINGS_SQL)}, {_venue_sql()}, {_features_sql(roles.HOLIDAYS_2024)}
+WITH {EVENT_FEATURES_SQL}
 SELECT * EXCLUDE (booking_id) FROM feat""")
 def features_ready_events(spark, sf):
     return comparable(etl.transform_features(roles.event_star(spark, sf), roles.HOLIDAYS_2024))
