@@ -16,8 +16,8 @@ members are linked over midpoints instead: fingerprints differ in two bits or fe
 a fingerprint that differs from each in one bit or none, so each member is listed under its 65 midpoints
 and linked to the smallest listed there. That is linear in the members and just as exact.
 
-``similar`` and ``keep_one_similar`` compare five-word shingles by exact Jaccard similarity instead: that is
-what the pipeline's stage takes as near copies, far wider than two bits.
+``similar_by_leaders``, ``similar`` and ``keep_one_similar`` compare five-word shingles by exact Jaccard similarity
+instead: that is what the pipeline's stage takes as near copies, far wider than two bits.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Repeated rows share a
 class. No rows: no rows.
@@ -48,6 +48,9 @@ CELL_BITS, CHECKS, CROWD = 2, 16, 32
 #: which fingerprints may differ. At 0.8 they differ in 10 on average, by 3:
 #: by the binomial a link is lost with a chance of 3 * 10^-6, between sets of 4 and 5 shingles, where votes tie, 10^-4.
 WORDS, PART, WHOLE, REACH = 5, 4, 5, 24
+#: Bands and hash functions of a band: 0.8 meets in one of 16 bands with probability 0.998, 0.6 with 0.73. Rounds of
+#: leaders. Shingles whose minima are taken together, about.
+BANDS, HASHES, ROUNDS, BLOCK = 16, 5, 8, 1 << 19
 #: Texts that the order of shingles is drawn from, and shingles in it.
 ORDER_ROWS, COMMON = 4000, 100_000
 
@@ -257,10 +260,9 @@ def _may_link(a: str, b: str, distance: int) -> Column:
             & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of keys whose sets of shingles have the similarity. Only texts of pairs are read for
-    their sets, found through a Bloom filter of their marks."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+def sets_of(wanted: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """``key`` and ``shingles`` of the keys in ``wanted``. Only texts with these keys are read for their sets, found
+    through a Bloom filter of their marks."""
     marks = freeze(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("h")), "pair_marks")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
 
@@ -271,7 +273,11 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str =
                                               pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["key", "shingles"])
 
     sets = map_batches(mark_members(texts, marks.select("h")).where("suspect").select("text"), run, "key long, shingles array<long>")
-    sets = freeze(sets.dropDuplicates(["key"]), "shingle_sets")
+    return freeze(sets.dropDuplicates(["key"]), "shingle_sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets of shingles have the similarity."""
     both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("_a")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("_b")), "b"))
     shared = F.size(F.array_intersect("_a", "_b"))
@@ -279,10 +285,15 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str =
     return freeze(both.where(shared * (PART + WHOLE) >= (F.size("_a") + F.size("_b")) * PART).select("a", "b"), "similar")
 
 
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, distance: int = REACH) -> DataFrame:
     """One row per row of ``docs``: doc_id, mark and ``root``, the same for texts that links connect. A link is a Jaccard
     similarity of word shingles of ``PART / WHOLE`` or more, among pairs within ``distance`` bits.
 
+    The exact way: its work may grow with the square of a group whose texts are all just short of the similarity.
     Candidates share a shingle of their prefixes, which loses no pair; sizes and fingerprints discard; the
     sets decide. Under each shingle all are first compared with one, so that large groups grow together in
     linear work; then only pairs of different groups are compared.
@@ -295,7 +306,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     x = posted.select("h", F.struct("key", "n", "fp").alias("x"))
     first = freeze(x.join(lead, "h").where("x.key <> y.key").where(_may_link("x", "y", distance))
                    .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "candidates")
-    links = verified(first, docs, rows, text_col, shingle)
+    links = verified(first, sets_of(_keys(first), docs, rows, text_col, shingle))
     group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
     placed = freeze(posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
     open_ = freeze(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "open")
@@ -304,11 +315,100 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     rest = (x.join(y, "h").where("x.root < y.root").where(_may_link("x", "y", distance))
             .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
     rest = freeze(rest.join(first, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(verified(rest, docs, rows, text_col, shingle))
+    links = links.unionByName(verified(rest, sets_of(_keys(rest), docs, rows, text_col, shingle)))
     group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
     return rows.join(group, "key", "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, one of each group of ``similar`` texts."""
-    return one_of_each(docs, similar(docs, id_col, text_col, shingle), id_col, text_col)
+# Near copies by leaders: bands of minima, one comparison a text and round
+
+def _minima(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row a set, ``BANDS * HASHES`` columns: the least value of each hash function over the set's shingles."""
+    draw = np.random.default_rng(SEED)
+    factors = draw.integers(1 << 62, size=BANDS * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((len(offsets) - 1, len(factors)), np.uint64)
+    mixed = flat ^ (flat >> np.uint64(31))
+    for i, factor in enumerate(factors):
+        value = mixed * factor
+        out[:, i] = np.minimum.reduceat(value ^ (value >> np.uint64(32)), offsets[:-1])
+    return out
+
+
+def banded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """``doc_id``, ``mark``, ``key`` (a hash of the set of shingles), ``n``, ``fp`` and ``bands``: a hash of ``HASHES`` minima
+    for each of ``BANDS`` bands. Two sets of similarity ``s`` agree in a band with probability ``s ** HASHES``. A text
+    without words has no band; such texts share their key."""
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, sets, n = 0, [], 0
+        for i, text in enumerate(batch.column("text")):
+            sets.append(np.unique(shingle_hashes(text.as_py(), shingle)))
+            n += len(sets[-1])
+            if n < BLOCK and i < batch.num_rows - 1:
+                continue
+            full = [j for j, found in enumerate(sets) if len(found)]
+            bands = [[] for _ in sets]
+            if full:
+                flat = np.concatenate([sets[j] for j in full])
+                least = _minima(flat, np.cumsum([0, *[len(sets[j]) for j in full]])).reshape(len(full), BANDS, HASHES)
+                for j, rows in zip(full, least):
+                    bands[j] = [_signed(xxhash.xxh64_intdigest(row.tobytes(), b)) for b, row in enumerate(rows)]
+            part = batch.slice(at, len(sets))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("mark"), pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64()),
+                 pa.array([len(x) for x in sets], pa.int64()), pa.array([_signed(_majority(x)) for x in sets], pa.int64()),
+                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "n", "fp", "bands"])
+            at, sets, n = i + 1, [], 0
+
+    rows = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return map_batches(rows, run, "doc_id long, mark long, key long, n long, fp long, bands array<long>")
+
+
+def similar_by_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, distance: int = REACH,
+                       rounds: int = ROUNDS) -> DataFrame:
+    """As ``similar``, in work that is linear in the rows however large a group of like texts is.
+
+    Texts that agree in a band are in one bucket. In each round every open bucket has a leader, drawn by a hash, and each
+    text is compared exactly with one of the leaders it meets and is not yet grouped with: the one it shares most
+    buckets with. Groups merge after each round; buckets of one group are closed. No pair is compared twice. After
+    ``rounds`` rounds, or one that has nothing left to compare, the groups stand: a text joins a group by any of its members, so
+    what is lost are texts whose only partners were never drawn.
+    """
+    rows = freeze(banded(docs, id_col, text_col, shingle), "bands")
+    posted = rows.select(F.explode("bands").alias("h"), "key", "n", "fp").distinct()
+    sizes = freeze(posted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "buckets")
+    posted = freeze(posted.join(sizes, "h", "left_semi"), "postings")
+    sets = sets_of(posted.select("key").distinct(), docs, rows, text_col, shingle)
+    links = group = compared = None
+    for turn in range(rounds):
+        placed = posted.withColumn("root", F.col("key")) if group is None else (
+            posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")))
+        placed = freeze(placed, "placed")
+        open_ = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        posted = freeze(placed.join(freeze(open_, "open"), "h", "left_semi"), "open_postings")
+        if posted.isEmpty():
+            break
+        x = posted.select("h", F.struct("key", "n", "fp", "root").alias("x"))
+        lead = freeze(posted.groupBy("h").agg(F.min_by(F.struct("key", "n", "fp", "root"), F.xxhash64("key", "h", F.lit(turn))).alias("y")), "leaders")
+        met = x.join(lead, "h").where("x.root <> y.root").where(_may_link("x", "y", distance))
+        met = met.groupBy(F.col("x.key").alias("x"), F.col("y.key").alias("y")).agg(F.count("*").alias("shared"))
+        met = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
+        if compared is not None:
+            met = met.join(compared, ["a", "b"], "left_anti")
+        best = met.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("shared", F.xxhash64("x", "y"))).alias("p"))
+        pairs = freeze(best.select("p.a", "p.b").distinct(), "candidates")
+        posted = posted.drop("root")
+        if pairs.isEmpty():
+            break
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        found = verified(pairs, sets)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
+    if group is None:
+        return rows.select("doc_id", "mark", F.col("key").alias("root"))
+    return rows.join(group, "key", "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, exact: bool = False) -> DataFrame:
+    """The rows of ``docs``, one of each group of like texts: by leaders, or with ``exact`` by ``similar``."""
+    return one_of_each(docs, (similar if exact else similar_by_leaders)(docs, id_col, text_col, shingle), id_col, text_col)

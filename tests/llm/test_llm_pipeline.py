@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import llm_brute as B
 import corpus_pipeline
-from slotlake.llm import toxicity
+from slotlake.llm import simhash, toxicity
 
 
 def kept_once(rows):
@@ -14,11 +14,56 @@ def kept_once(rows):
     return list(best.values())
 
 
+def shingles(text):
+    words = [w.encode() for w in B.WORD.findall(B.re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))]
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def near_links(rows):
+    """Pairs of rows with five-word Jaccard of 0.8 or more, by what they share; rows without words are alike."""
+    sets, where, links = [shingles(r[1]) for r in rows], defaultdict(list), []
+    for i, found in enumerate(sets):
+        shared = Counter(j for s in found for j in where[s])
+        links += [(i, j) for j, n in shared.items() if 5 * n >= 4 * (len(found) + len(sets[j]) - n)]
+        for s in found or {()}:
+            where[s].append(i)
+        if not found:
+            links += [(i, j) for j in where[()][:-1]]
+    return links
+
+
 def nearest(rows):
-    prints = [B.fingerprint(t) for _, t, _ in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 2]
     ids = [r[0] for r in rows]
-    return [r for r, c in zip(rows, B.smallest(ids, B.classes(len(rows), links))) if r[0] == c]
+    return [r for r, c in zip(rows, B.smallest(ids, B.classes(len(rows), near_links(rows)))) if r[0] == c]
+
+
+def grouped(found):
+    """Sets of ids of equal root."""
+    groups = defaultdict(set)
+    for r in found.collect():
+        groups[r.root].add(r.doc_id)
+    return groups.values()
+
+
+def test_recall_of_leaders(spark, docs_dir):
+    """On all documents, and on a group whose texts are all near 0.8, some above and most below."""
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet")
+    base, draw = [f"w{i}" for i in range(200)], B.np.random.default_rng(6)
+    hard = []
+    for d in range(200):
+        words = list(base)
+        for i in draw.choice(200, 2 + int(draw.integers(2)), replace=False):
+            words[i] = f"x{d}_{i}"
+        hard.append((d, " ".join(words)))
+    for rows in ([tuple(r) for r in docs.select("doc_id", "text").collect()], hard):
+        links = near_links(rows)
+        root = dict(zip([r[0] for r in rows], B.classes(len(rows), links)))
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        leaders = grouped(simhash.similar_by_leaders(frame))
+        place = {d: i for i, g in enumerate(leaders) for d in g}
+        joined = sum(place[rows[i][0]] == place[rows[j][0]] for i, j in links)
+        assert all(len({root[d] for d in g}) == 1 for g in leaders) and joined >= 0.9 * len(links)
+        print("recall of links", joined, len(links))
 
 
 def test_stages(spark, docs_dir, doc_rows):
