@@ -50,9 +50,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=2)
@@ -61,10 +59,10 @@ def _memory(path: str) -> dict[str, bytes]:
 
 
 def _learn(path: str, known: dict[str, bytes], words: list[str]) -> None:
-    """Add the ids of new words. A word of letters and one mark behind it has the ids of both; words of
-    plain letters go to the merges as they are, in lower case; the other words are encoded many at a time
-    and told apart by their places."""
-    merges = tokenizer(path).model.tokenize
+    """Add the ids of new words. A word of letters and one mark behind it has the ids of both, if its normal form
+    still ends in a letter; words of plain letters go to the merges as they are, in lower case; the other words, also
+    those that hold an added token, are encoded many at a time and told apart by their places."""
+    merges, normal = tokenizer(path).model.tokenize, tokenizer(path).normalizer
     others: dict[str, None] = {}
     marked = []
 
@@ -76,7 +74,7 @@ def _learn(path: str, known: dict[str, bytes], words: list[str]) -> None:
 
     for word in words:
         core, mark = word[:-1], word[-1:]
-        if mark in ".,;:!?" and core.isalpha():
+        if mark in ".,;:!?" and core.isalpha() and (core.isascii() or normal.normalize_str(core)[-1:].isalpha()):
             marked.append((word, core, mark))
             for part in (core, mark):
                 if part not in known:
@@ -235,10 +233,11 @@ def shard(part: int, first_id: int, docs: list[int | None], ids: list[np.ndarray
 
 
 def _bounds(docs: DataFrame, id_col: str, parts: int) -> np.ndarray:
-    """Ids that cut the texts into parts of about equal number, from a sketch of the ids alone."""
+    """Ids that cut the texts into parts of about equal number, from a sketch of the ids alone. The sketch rounds them;
+    as whole numbers they still cut exactly, only elsewhere."""
     at = [i / parts for i in range(1, parts)]
     found = docs.select(F.col(id_col).cast("double").alias("id")).stat.approxQuantile("id", at, 0.1 / parts) if at else []
-    return np.array(found, np.float64)
+    return np.array([min(int(b), np.iinfo(np.int64).max) for b in found], np.int64)
 
 
 def part_of(doc: int | None, check: int, bounds: np.ndarray) -> int:

@@ -42,7 +42,6 @@ def rank_ids(texts):
 
 def word_ids(texts):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
 

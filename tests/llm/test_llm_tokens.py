@@ -44,6 +44,21 @@ def test_word_ids_are_the_librarys():
     assert [list(map(int, i)) for i in token_shards.encode_texts(P.path("word_bpe_49k.json"), texts)] == B.word_ids(texts)
 
 
+def test_letters_before_a_mark_and_added_tokens():
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    texts = [" ".join(f"{c}. x{c}!" for c in letters[i:i + 500]) for i in range(0, len(letters), 500)]
+    texts += ["İ.", "क़, ড়!", "x <|endoftext|> y", "a<|endoftext|>b <|startoftext|>.", "<|ENDOFTEXT|>", "<|endoftext|>" * 3, "| <| endoftext |>"]
+    assert [list(map(int, i)) for i in token_shards.encode_texts(P.path("word_bpe_49k.json"), texts)] == B.word_ids(texts)
+
+
+def test_large_ids_ascend(spark, tmp_path):
+    ids = [2**60, 2**60 + 5, 2**60 + 1, -2**62, 2**63 - 1, 2**53 + 1, 2**53, -2**63] * 2
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(4)
+    token_shards.write(docs, P.path("word_bpe_49k.json"), str(tmp_path / "large"))
+    got = sorted(token_shards.read(spark, str(tmp_path / "large")).select("start", "doc_id").collect())
+    assert [r.doc_id for r in got] == sorted(ids)
+
+
 def test_shards_decode_whole_and_at_any_place():
     texts = ["the cat sat on the mat " * 40, "", "the cat sat", "\"quoted\" \" \"" * 9] * 5
     ids, row = shard_rows(texts)
