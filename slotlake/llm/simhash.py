@@ -363,6 +363,18 @@ def banded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return map_batches(rows, run, "doc_id long, mark long, key long, n long, fp long, bands array<long>")
 
 
+def _merged(group: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Groups (``key``, ``root``) after new links. Only roots are connected anew, so later rounds have little to do."""
+    if group is None:
+        return freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
+    for side in ("a", "b"):
+        links = links.join(group.withColumnsRenamed({"key": side, "root": "_root"}), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    merged = freeze(components(links).withColumnsRenamed({"node": "root", "component": "_new"}), "merged")
+    before = group.join(merged, "root", "left").select("key", F.coalesce("_new", "root").alias("root"))
+    fresh = merged.select(F.col("root").alias("key"), F.col("_new").alias("root")).join(group, "key", "left_anti")
+    return freeze(before.unionByName(fresh), "groups")
+
+
 def similar_by_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, distance: int = REACH,
                        rounds: int = ROUNDS) -> DataFrame:
     """As ``similar``, in work that is linear in the rows however large a group of like texts is.
@@ -378,7 +390,7 @@ def similar_by_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = freeze(posted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "buckets")
     posted = freeze(posted.join(sizes, "h", "left_semi"), "postings")
     sets = sets_of(posted.select("key").distinct(), docs, rows, text_col, shingle)
-    links = group = compared = None
+    group = compared = None
     for turn in range(rounds):
         placed = posted.withColumn("root", F.col("key")) if group is None else (
             posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")))
@@ -402,8 +414,7 @@ def similar_by_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         compared = pairs if compared is None else compared.unionByName(pairs)
         found = verified(pairs, sets)
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
+            group = _merged(group, found)
     if group is None:
         return rows.select("doc_id", "mark", F.col("key").alias("root"))
     return rows.join(group, "key", "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
