@@ -10,7 +10,7 @@ from slotlake.catalog import roles
 from slotlake.catalog.registry import comparable, query, r6, table
 from slotlake.catalog.roles import slot_sql, star_sql
 from slotlake.functions import temporal
-from slotlake.operators import popularity, profile
+from slotlake.operators import associations, popularity, profile
 from slotlake.session import freeze
 
 _LABELLED_SQL = "SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
@@ -181,6 +181,55 @@ def histogram_seconds(spark, sf):
     return profile.histogram(table(spark, sf, "events"), temporal.seconds_of_day(F.col("ts")), 1800)
 
 
+# --- associations --------------------------------------------------------------------------------------
+
+STAR_CATEGORIES = ("purpose", "gender", "status", "city", "cityarea", "member_gender", "member_city")
+STAR_MEASURES = ("people", "price1", "price2", "lat", "lng")
+_EVENT_STAR = f"WITH {star_sql(roles.EVENT_BOOKINGS_SQL)}"
+_PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, CAST({a} AS VARCHAR) AS u, CAST({b} AS VARCHAR) AS v, count(*) AS n FROM star "
+    f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL" for a, b in combinations(STAR_CATEGORIES, 2))
+
+
+@query("category_associations", f"""
+{_EVENT_STAR}, cells AS ({_PAIRS_SQL}),
+shares AS (SELECT *, sum(n) OVER (PARTITION BY a, b, u) AS n_u, sum(n) OVER (PARTITION BY a, b, v) AS n_v FROM cells),
+sums AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT u) AS r, count(DISTINCT v) AS k,
+                sum(CAST(n AS DOUBLE) / n_u * (CAST(n AS DOUBLE) / n_v)) - 1 AS phi FROM shares GROUP BY a, b)
+SELECT a, b, n, r AS levels_a, k AS levels_b, CASE WHEN r > 1 AND k > 1 THEN
+       round(sqrt(greatest(0, phi - (r - 1) * (k - 1) / (n - 1)) / (least(r - (r - 1) ** 2 / (n - 1), k - (k - 1) ** 2 / (n - 1)) - 1)), 6) END AS v
+FROM sums""")
+def category_associations(spark, sf):
+    return comparable(associations.cramers_v(roles.event_star(spark, sf), STAR_CATEGORIES))
+
+
+@query("correlation_ratios", f"{_EVENT_STAR} " + " UNION ALL ".join(f"""
+SELECT '{c}' AS category, '{x}' AS number, count(*) AS n, round(sqrt(sum((m - t) ** 2) / nullif(sum((y - t) ** 2), 0)), 6) AS ratio
+FROM (SELECT CAST({x} AS DOUBLE) AS y, avg(CAST({x} AS DOUBLE)) OVER (PARTITION BY {c}) AS m, avg(CAST({x} AS DOUBLE)) OVER () AS t
+      FROM star WHERE {c} IS NOT NULL AND {x} IS NOT NULL)""" for c in STAR_CATEGORIES for x in STAR_MEASURES))
+def correlation_ratios(spark, sf):
+    return comparable(associations.correlation_ratios(roles.event_star(spark, sf), STAR_CATEGORIES, STAR_MEASURES))
+
+
+STAR_COLUMNS = (*STAR_CATEGORIES, *STAR_MEASURES, "member_id", "restaurant_id", "cdate", "datetime", "birthdate", "is_vip", "parking", "wifi")
+
+
+@query("missing_patterns", f"{_EVENT_STAR} SELECT " + " || ".join(f"CASE WHEN {c} IS NULL THEN '1' ELSE '0' END" for c in STAR_COLUMNS)
+       + " AS pattern, CAST(" + " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in STAR_COLUMNS)
+       + " AS INT) AS n_missing, count(*) AS n FROM star GROUP BY ALL")
+def missing_patterns(spark, sf):
+    return associations.missing_patterns(roles.event_star(spark, sf), STAR_COLUMNS)
+
+
+@query("missing_correlations", f"{_EVENT_STAR} " + " UNION ALL ".join(f"""
+SELECT '{a}' AS a, '{b}' AS b, count_if({a} IS NULL AND {b} IS NULL)::BIGINT AS n_both, round(
+    (CAST(count(*) AS DOUBLE) * count_if({a} IS NULL AND {b} IS NULL) - CAST(count_if({a} IS NULL) AS DOUBLE) * count_if({b} IS NULL))
+    / nullif(sqrt(CAST(count_if({a} IS NULL) AS DOUBLE) * count({a})) * sqrt(CAST(count_if({b} IS NULL) AS DOUBLE) * count({b})), 0), 6) AS correlation
+FROM star""" for a, b in combinations(STAR_COLUMNS, 2)))
+def missing_correlations(spark, sf):
+    return comparable(associations.missing_correlations(roles.event_star(spark, sf), STAR_COLUMNS))
+
+
 # --- segments ------------------------------------------------------------------------------------------
 
 
