@@ -211,6 +211,15 @@ def correlation_ratios(spark, sf):
     return comparable(associations.correlation_ratios(roles.event_star(spark, sf), STAR_CATEGORIES, STAR_MEASURES))
 
 
+_RANKED_SQL = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in MEASURES)
+
+
+@query("rank_correlation", f"WITH r AS (SELECT {_RANKED_SQL} FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS correlation FROM r" for a, b in combinations(MEASURES, 2)))
+def rank_correlation(spark, sf):
+    return comparable(associations.rank_correlations(table(spark, sf, "lineitem"), MEASURES))
+
+
 STAR_COLUMNS = (*STAR_CATEGORIES, *STAR_MEASURES, "member_id", "restaurant_id", "cdate", "datetime", "birthdate", "is_vip", "parking", "wifi")
 
 

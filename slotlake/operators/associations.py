@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotlake.session import freeze
@@ -55,6 +55,39 @@ def correlation_ratios(df: DataFrame, categories: Sequence[str], numbers: Sequen
         F.first("n").alias("n"), F.sqrt(F.try_divide(F.sum(between), F.sum(between + F.col("k") * F.col("within")))).alias("ratio"))
 
 
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column``, ``value``, ``rank`` (from 1) of all values of the columns; equal values share the average of their ranks.
+
+    Values are counted, dealt by range and written with the number of their part, so ranks add up inside a part
+    and a small table of parts says where each begins; no task sees a whole column. Null and NaN have no rank.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+    counts = df.select(F.inline(entries)).where("value IS NOT NULL AND NOT isnan(value)").groupBy("column", "value").agg(F.count("*").alias("n"))
+    dealt = freeze(counts.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()), "dealt")
+    parts = dealt.groupBy("column", "part").agg(F.sum("n").alias("here"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    parts = freeze(parts.select("column", "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before")), "parts")
+    below = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0))).join(parts, ["column", "part"])
+    return ranked.select("column", "value", (F.col("before") + F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``a``, ``b``, ``n``, ``correlation``: Spearman's, over the rows that have a number in every column; null where one
+    column does not vary."""
+    rows = freeze(df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna(), "complete")
+    names = [f"x{i}" for i in range(len(columns))]
+    ranks = freeze(average_ranks(rows, names), "ranks")
+    for x in names:
+        own = ranks.where(F.col("column") == x).select(F.col("value").alias(x), F.col("rank").alias(f"r_{x}"))
+        rows = rows.join(own, x).drop(x)
+    pairs = list(combinations(range(len(columns)), 2))
+    spread = lambda i, j: F.stddev_pop(f"r_x{i}") * F.stddev_pop(f"r_x{j}")
+    one = rows.agg(F.count("*").alias("n"), *[F.try_divide(F.covar_pop(f"r_x{i}", f"r_x{j}"), spread(i, j)).alias(f"c{i}_{j}") for i, j in pairs])
+    table = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col("n"), F.col(f"c{i}_{j}").alias("correlation")) for i, j in pairs])
+    return one.select(F.inline(table))
+
+
 def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``pattern`` (a digit for each column, 1 where it is null), ``n_missing`` columns and ``n`` rows."""
     flags = [F.col(f"`{c}`").isNull().cast("int") for c in columns or df.columns]

@@ -43,3 +43,21 @@ def test_missing_values(frame):
                 assert pairs[a, b][0] == (flags[:, i] * flags[:, j]).sum()
                 assert pairs[a, b][1] == pytest.approx(np.corrcoef(flags[:, i], flags[:, j])[0, 1])
     assert associations.missing_correlations(frame, ["c", "x"]).count() == 1
+
+
+def test_ranks_and_rank_correlation(spark):
+    draw = np.random.default_rng(3)
+    x, y = draw.integers(0, 40, 500).astype(float), draw.normal(size=500)
+    rows = [(float(a), float(b) + float(a) / 9, 1.0) for a, b in zip(x, y)]
+    frame = spark.createDataFrame([*rows, (None, 1.0, 1.0), (1.0, float("nan"), 1.0)], "x double, y double, z double")
+
+    def rank(values):
+        return np.array([(values < v).sum() + ((values == v).sum() + 1) / 2 for v in values])
+
+    full = np.array([r[0] for r in rows] + [1.0])
+    got = {r.value: r["rank"] for r in associations.average_ranks(frame, ["x"]).collect()}
+    assert got == dict(zip(full, rank(full)))
+    found = {(r.a, r.b): (r.n, r.correlation) for r in associations.rank_correlations(frame, ["x", "y", "z"]).collect()}
+    want = np.corrcoef(rank(np.array([r[0] for r in rows])), rank(np.array([r[1] for r in rows])))[0, 1]
+    assert found["x", "y"][0] == 500 and found["x", "y"][1] == pytest.approx(want)
+    assert found["x", "z"][1] is None
