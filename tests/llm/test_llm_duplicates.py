@@ -146,7 +146,8 @@ def similar_rows(rows):
     return [(None if none else d, t) for none, d, t in least.values()]
 
 
-def test_similar_keeps_one_by_jaccard(spark, docs_dir, doc_rows):
+@pytest.mark.parametrize("exact", [True, False])
+def test_similar_keeps_one_by_jaccard(spark, docs_dir, doc_rows, exact):
     """Near copies of many distances around a few texts, chains of them, unrelated texts, null ids, and the documents."""
     draw = np.random.default_rng(11)
     rows = [(None, None), (901, ""), (902, "One two"), (903, "one TWO"), (904, "one three")]
@@ -158,7 +159,7 @@ def test_similar_keeps_one_by_jaccard(spark, docs_dir, doc_rows):
             rows.append((100 * c + k, " ".join(words)))
     rows.append((None, " ".join(f"y{i}" for i in range(20))))
     rows += sorted({t: (1000 + d, t) for d, t, _ in doc_rows if t}.values())
-    got = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string"), exact=exact).collect()
     want = similar_rows(rows)
     assert B.counted((r.doc_id, r.text or "") for r in got) == B.counted(want) and len(want) < len(rows) - 50
 
