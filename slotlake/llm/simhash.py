@@ -48,9 +48,10 @@ CELL_BITS, CHECKS, CROWD = 2, 16, 32
 #: which fingerprints may differ. At 0.8 they differ in 10 on average, by 3:
 #: by the binomial a link is lost with a chance of 3 * 10^-6, between sets of 4 and 5 shingles, where votes tie, 10^-4.
 WORDS, PART, WHOLE, REACH = 5, 4, 5, 24
-#: Bands and hash functions of a band: 0.8 meets in one of 16 bands with probability 0.998, 0.6 with 0.73. Rounds of
-#: leaders. Shingles whose minima are taken together, about.
-BANDS, HASHES, ROUNDS, BLOCK = 16, 5, 8, 1 << 19
+#: Bands and hash functions of a band: 0.8 meets in one of 16 bands with probability 0.998, 0.6 with 0.73. Shingles
+#: whose minima are taken together, about. Leaders of a bucket and comparisons of a text, round by round; links that
+#: a name of a group reaches over.
+BANDS, HASHES, BLOCK, DRAWS, HOPS = 16, 5, 1 << 19, (1, 4, 4), 3
 #: Texts that the order of shingles is drawn from, and shingles in it.
 ORDER_ROWS, COMMON = 4000, 100_000
 
@@ -363,60 +364,69 @@ def banded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return map_batches(rows, run, "doc_id long, mark long, key long, n long, fp long, bands array<long>")
 
 
-def _merged(group: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Groups (``key``, ``root``) after new links. Only roots are connected anew, so later rounds have little to do."""
-    if group is None:
-        return freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
-    for side in ("a", "b"):
-        links = links.join(group.withColumnsRenamed({"key": side, "root": "_root"}), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
-    merged = freeze(components(links).withColumnsRenamed({"node": "root", "component": "_new"}), "merged")
-    before = group.join(merged, "root", "left").select("key", F.coalesce("_new", "root").alias("root"))
-    fresh = merged.select(F.col("root").alias("key"), F.col("_new").alias("root")).join(group, "key", "left_anti")
-    return freeze(before.unionByName(fresh), "groups")
+def _names(links: DataFrame, hops: int = HOPS) -> DataFrame:
+    """``key`` and ``root``, the least key within ``hops`` links. Texts of one name are connected; connected texts mostly
+    have one name, which saves comparisons and decides nothing."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    name = both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    for _ in range(hops - 1):
+        # written, so that a text with very many links meets a plain shuffle that can be split
+        name = freeze(name, "names")
+        name = both.join(name, F.col("b") == F.col("key")).groupBy(F.col("a").alias("key")).agg(F.least(F.min("root"), F.first("a")).alias("root"))
+    return freeze(name, "names")
+
+
+def _leaders(posted: DataFrame, turn: int, draws: int) -> DataFrame:
+    """``h`` and ``y``, up to ``draws`` texts of each bucket: by turns the least by a hash of the text, the same in all of its
+    buckets, and one of a group drawn by a hash, so that small groups are drawn as often as large ones."""
+    y = F.struct("key", "n", "fp", "root")
+    drawn = []
+    for d in range(draws):
+        salt = F.lit(turn * 1000 + d)
+        by_text = F.xxhash64("key", salt)
+        drawn.append(F.min_by(y, F.struct(F.xxhash64("root", "h", salt), by_text) if d % 2 else by_text))
+    return posted.groupBy("h").agg(F.array(*drawn).alias("ys")).select("h", F.explode(F.array_distinct("ys")).alias("y"))
 
 
 def similar_by_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, distance: int = REACH,
-                       rounds: int = ROUNDS) -> DataFrame:
+                       draws: tuple[int, ...] = DRAWS) -> DataFrame:
     """As ``similar``, in work that is linear in the rows however large a group of like texts is.
 
-    Texts that agree in a band are in one bucket. In each round every open bucket has a leader, drawn by a hash, and each
-    text is compared exactly with one of the leaders it meets and is not yet grouped with: the one it shares most
-    buckets with. Groups merge after each round; buckets of one group are closed. No pair is compared twice. After
-    ``rounds`` rounds, or one that has nothing left to compare, the groups stand: a text joins a group by any of its members, so
-    what is lost are texts whose only partners were never drawn.
+    Texts that agree in a band are in one bucket. A round draws leaders of every open bucket, as many as ``draws`` says
+    for it, and each text is compared exactly with as many of the leaders it meets, those it shares most buckets with and
+    is not yet grouped with. Buckets of one group are closed. No pair is compared twice. After the last round, or one
+    that has nothing left to compare, links make the groups: a text joins a group by any of its members, so what is
+    lost are texts whose only partners were never drawn.
     """
     rows = freeze(banded(docs, id_col, text_col, shingle), "bands")
     posted = rows.select(F.explode("bands").alias("h"), "key", "n", "fp").distinct()
     sizes = freeze(posted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "buckets")
-    posted = freeze(posted.join(sizes, "h", "left_semi"), "postings")
+    posted = freeze(posted.join(sizes, "h", "left_semi").withColumn("root", F.col("key")), "postings")
     sets = sets_of(posted.select("key").distinct(), docs, rows, text_col, shingle)
-    group = compared = None
-    for turn in range(rounds):
-        placed = posted.withColumn("root", F.col("key")) if group is None else (
-            posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")))
-        placed = freeze(placed, "placed")
-        open_ = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        posted = freeze(placed.join(freeze(open_, "open"), "h", "left_semi"), "open_postings")
-        if posted.isEmpty():
-            break
+    links = compared = None
+    for turn, width in enumerate(draws):
+        if links is not None:
+            placed = posted.drop("root").join(_names(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            open_ = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+            posted = freeze(placed.join(freeze(open_, "open"), "h", "left_semi"), "open_postings")
         x = posted.select("h", F.struct("key", "n", "fp", "root").alias("x"))
-        lead = freeze(posted.groupBy("h").agg(F.min_by(F.struct("key", "n", "fp", "root"), F.xxhash64("key", "h", F.lit(turn))).alias("y")), "leaders")
-        met = x.join(lead, "h").where("x.root <> y.root").where(_may_link("x", "y", distance))
+        met = x.join(freeze(_leaders(posted, turn, width), "leaders"), "h").where("x.root <> y.root").where(_may_link("x", "y", distance))
         met = met.groupBy(F.col("x.key").alias("x"), F.col("y.key").alias("y")).agg(F.count("*").alias("shared"))
         met = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
         if compared is not None:
             met = met.join(compared, ["a", "b"], "left_anti")
-        best = met.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("shared", F.xxhash64("x", "y"))).alias("p"))
-        pairs = freeze(best.select("p.a", "p.b").distinct(), "candidates")
-        posted = posted.drop("root")
+        # a text meets at most BANDS * width leaders
+        order = F.struct((-F.col("shared")).alias("less"), F.xxhash64("x", "y").alias("tie"), "a", "b")
+        best = met.groupBy("x").agg(F.slice(F.array_sort(F.collect_list(order)), 1, width).alias("best"))
+        pairs = freeze(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), "candidates")
         if pairs.isEmpty():
             break
         compared = pairs if compared is None else compared.unionByName(pairs)
         found = verified(pairs, sets)
-        if not found.isEmpty():
-            group = _merged(group, found)
-    if group is None:
+        links = found if links is None else links.unionByName(found)
+    if links is None:
         return rows.select("doc_id", "mark", F.col("key").alias("root"))
+    group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
     return rows.join(group, "key", "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
 
 
