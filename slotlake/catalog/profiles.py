@@ -181,6 +181,24 @@ def histogram_seconds(spark, sf):
     return profile.histogram(table(spark, sf, "events"), temporal.seconds_of_day(F.col("ts")), 1800)
 
 
+@query("histogram_by_spread", " UNION ALL ".join(f"""
+SELECT "column", bin, round(lo + bin * width, 6) AS low, round(CASE WHEN width > 0 THEN lo + bin * width + width ELSE hi END, 6) AS high, n FROM (
+    SELECT '{c}' AS "column", CAST(CASE WHEN width > 0 THEN floor((v - lo) / width) ELSE 0 END AS BIGINT) AS bin, lo, hi, width, count(*) AS n
+    FROM (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem WHERE {c} IS NOT NULL), (
+        SELECT min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi, 2 * (quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25))
+               / pow(count({c}), 1.0::DOUBLE / 3) AS width FROM lineitem) GROUP BY ALL)""" for c in MEASURES))
+def histogram_by_spread(spark, sf):
+    return comparable(profile.histogram_by_spread(table(spark, sf, "lineitem"), MEASURES))
+
+
+@query("histogram_by_depth", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", bin, round(min(v), 6) AS low, round(max(v), 6) AS high, count(*) AS n FROM (
+    SELECT v, CAST(((rank() OVER (ORDER BY v) - 1) * 10) // count(*) OVER () + 1 AS BIGINT) AS bin
+    FROM (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem WHERE {c} IS NOT NULL)) GROUP BY bin""" for c in MEASURES))
+def histogram_by_depth(spark, sf):
+    return comparable(profile.histogram_by_depth(table(spark, sf, "lineitem"), MEASURES))
+
+
 # --- associations --------------------------------------------------------------------------------------
 
 STAR_CATEGORIES = ("purpose", "gender", "status", "city", "cityarea", "member_gender", "member_city")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slotlake.functions import temporal
 from slotlake.functions.values import category_text
-from slotlake.operators.ranking import quantiles
+from slotlake.operators.ranking import order_statistics, quantiles
 from slotlake.schema import Rule
 from slotlake.session import freeze
 
@@ -195,6 +195,42 @@ def histogram(df: DataFrame, value: Column, width: float, start: float = 0.0) ->
     return df.filter(value.isNotNull()).groupBy(number).agg(F.count("*").alias("n")).orderBy("bin")
 
 
+def histogram_by_spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column``, ``bin``, ``low``, ``high``, ``n``: bins from the minimum on, of Freedman-Diaconis width, which is twice the
+    distance of the quartiles over the cube root of the count. Nulls are left out, empty bins too; a column whose
+    quartiles are equal has one bin from minimum to maximum, one without values has no rows."""
+    df = freeze(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "profiled")  # read several times
+    found = quantiles(df, columns, [0.25, 0.75])
+    ends = df.agg(*[f(c).alias(f"{name}:{c}") for c in columns for name, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+    cells = []
+    for c in columns:
+        n, start, stop = (ends[f"{name}:{c}"] for name in ("n", "low", "high"))
+        width = 2 * (found[c][1] - found[c][0]) / n ** (1 / 3) if n else 0.0
+        at = F.floor((F.col(c) - F.lit(start)) / F.lit(width)).cast("bigint") if width else F.lit(0).cast("bigint")
+        low = F.lit(start) + at * F.lit(width)
+        cells.append(F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), at).alias("bin"), low.cast("double").alias("low"),
+                              ((low + F.lit(width)) if width else F.lit(stop)).cast("double").alias("high")))
+    rows = df.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
+    return rows.groupBy("column", "bin", "low", "high").agg(F.count("*").alias("n"))
+
+
+def histogram_by_depth(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """``column``, ``bin`` from 1, ``low``, ``high``, ``n``: bins that hold like numbers of rows, cut at exact ranks. Equal
+    values share the first bin that reaches them, so a frequent value may leave bins out. Nulls are left out."""
+    df = freeze(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "profiled")  # read several times
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    ranks = {c: [-(-i * sizes[c] // bins) - 1 for i in range(1, bins + 1)] for c in columns if sizes[c]}
+    edges = order_statistics(df, {c: F.col(c) for c in ranks}, {c: [(r, r) for r in found] for c, found in ranks.items()}) if ranks else {}
+    cells = []
+    for c in columns:
+        at = F.lit(None).cast("bigint")
+        for i, (edge, _) in reversed(list(enumerate(edges.get(c, ()), 1))):
+            at = F.when(F.col(c) <= F.lit(edge), F.lit(i).cast("bigint")).otherwise(at)
+        cells.append(F.struct(F.lit(c).alias("column"), at.alias("bin"), F.col(c).alias("value")))
+    rows = df.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
+    return rows.groupBy("column", "bin").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+
+
 def segment_summary(df: DataFrame, segments: Sequence[str], metrics: dict[str, Column],
                     totals: str = "none") -> DataFrame:
     """Metrics per segment, on request with subtotals (``rollup``) or all combinations (``cube``)."""

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from slotlake.operators import associations
+from slotlake.operators import associations, profile
 
 ROWS = [("x", "p", 1.0, None), ("x", "p", 2.0, 1), ("y", "q", 5.0, None), ("y", "q", 6.0, 2), ("y", "p", 5.5, 3), (None, "q", None, None), ("x", None, 9.0, 1)]
 
@@ -61,3 +61,20 @@ def test_ranks_and_rank_correlation(spark):
     want = np.corrcoef(rank(np.array([r[0] for r in rows])), rank(np.array([r[1] for r in rows])))[0, 1]
     assert found["x", "y"][0] == 500 and found["x", "y"][1] == pytest.approx(want)
     assert found["x", "z"][1] is None
+
+
+def test_histogram_by_spread_by_hand(spark):
+    values = [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 40.0, None]
+    frame = spark.createDataFrame([(v, 7) for v in values], "x double, same int")
+    got = {(r.column, r.bin): (r.low, r.high, r.n) for r in profile.histogram_by_spread(frame, ["x", "same"]).collect()}
+    # quartiles 1.75 and 5.25, eight values: the width is 2 * 3.5 / 2
+    assert got == {("x", 0): (0, 3.5, 4), ("x", 1): (3.5, 7, 3), ("x", 11): (38.5, 42, 1), ("same", 0): (7, 7, 9)}
+    assert profile.histogram_by_spread(frame.limit(0), ["x", "same"]).count() == 0
+
+
+def test_histogram_by_depth_with_ties(spark):
+    frame = spark.createDataFrame([(v,) for v in [1, 2, 3, 3, 3, 3, 3, 8, 9, 10, None]], "x int")
+    got = sorted((r.bin, r.low, r.high, r.n) for r in profile.histogram_by_depth(frame, ["x"], 5).collect())
+    # edges at ranks 2, 4, 6, 8 and 10: 2, 3, 3, 8, 10
+    assert got == [(1, 1, 2, 2), (2, 3, 3, 5), (4, 8, 8, 1), (5, 9, 10, 2)]
+    assert profile.histogram_by_depth(frame.where("x IS NULL"), ["x"]).count() == 0
