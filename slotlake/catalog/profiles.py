@@ -13,6 +13,9 @@ from slotlake.functions import temporal
 from slotlake.operators import associations, popularity, profile
 from slotlake.session import freeze
 
+STAR_CATEGORIES = ("purpose", "gender", "status", "city", "cityarea", "member_gender", "member_city")
+STAR_MEASURES = ("people", "price1", "price2", "lat", "lng")
+_EVENT_STAR = f"WITH {star_sql(roles.EVENT_BOOKINGS_SQL)}"
 _LABELLED_SQL = "SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
@@ -80,14 +83,12 @@ def value_counts(spark, sf):
     return comparable(profile.value_counts(table(spark, sf, "events"), "event_type", share=True))
 
 
-@query("profile_categorical", f"""
-WITH t AS ({roles.EVENT_BOOKINGS_SQL})
-SELECT 'purpose' AS "column", purpose AS category, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM t), 6) AS percent FROM t GROUP BY 2
-UNION ALL SELECT 'gender', coalesce(gender, 'Unknown'), count(*), round(count(*) * 100.0 / (SELECT count(*) FROM t), 6) FROM t GROUP BY 2
-UNION ALL SELECT 'status', status, count(*), round(count(*) * 100.0 / (SELECT count(*) FROM t), 6) FROM t GROUP BY 2""")
+@query("profile_categorical", f"{_EVENT_STAR} " + " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", coalesce(CAST({c} AS VARCHAR), 'Unknown') AS category, count(*) AS n,
+       round(count(*) * 100.0 / (SELECT count(*) FROM star), 6) AS percent FROM star GROUP BY 2""" for c in STAR_CATEGORIES))
 def profile_categorical(spark, sf):
-    return comparable(profile.profile_categorical(
-        roles.event_bookings(spark, sf), ["purpose", "gender", "status"]))
+    star = freeze(roles.event_star(spark, sf).select(*STAR_CATEGORIES), "categories")
+    return comparable(profile.profile_categorical(star, STAR_CATEGORIES))
 
 
 @query("distinct_values", "SELECT DISTINCT event_type FROM events")
@@ -155,13 +156,14 @@ def profile_numeric(spark, sf):
     return comparable(profile.profile_numeric(roles.event_star(spark, sf), STAR_NUMBERS))
 
 
-@query("outlier_iqr", """
-WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
-f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-SELECT 'value' AS "column", round(any_value(lo), 6) AS fence_low, round(any_value(hi), 6) AS fence_high,
-       sum(CASE WHEN value < lo THEN 1 ELSE 0 END)::BIGINT AS n_low, sum(CASE WHEN value > hi THEN 1 ELSE 0 END)::BIGINT AS n_high FROM events, f""")
+@query("outlier_iqr", f"{_EVENT_STAR} " + " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", round(any_value(lo), 6) AS fence_low, round(any_value(hi), 6) AS fence_high, count_if({c} < lo)::BIGINT AS n_low, count_if({c} > hi)::BIGINT AS n_high
+FROM {source}, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
+    SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {source}))"""
+    for c, source in (("value", "events"), *((c, "star") for c in STAR_MEASURES))))
 def outlier_iqr(spark, sf):
-    return comparable(profile.outliers_iqr(table(spark, sf, "events"), ["value"]))
+    return comparable(profile.outliers_iqr(table(spark, sf, "events"), ["value"]).unionByName(
+        profile.outliers_iqr(roles.event_star(spark, sf), STAR_MEASURES)))
 
 
 @query("correlation_matrix", " UNION ALL ".join(
@@ -201,9 +203,6 @@ def histogram_by_depth(spark, sf):
 
 # --- associations --------------------------------------------------------------------------------------
 
-STAR_CATEGORIES = ("purpose", "gender", "status", "city", "cityarea", "member_gender", "member_city")
-STAR_MEASURES = ("people", "price1", "price2", "lat", "lng")
-_EVENT_STAR = f"WITH {star_sql(roles.EVENT_BOOKINGS_SQL)}"
 _PAIRS_SQL = " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, CAST({a} AS VARCHAR) AS u, CAST({b} AS VARCHAR) AS v, count(*) AS n FROM star "
     f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL" for a, b in combinations(STAR_CATEGORIES, 2))
