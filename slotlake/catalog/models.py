@@ -15,11 +15,13 @@ from slotlake import constants as K
 from slotlake.catalog import roles
 from slotlake.catalog.registry import query, r6, table
 from slotlake.catalog.tables import EVENT_FEATURES_SQL
-from slotlake.config import MEAL_BANDS, TWO_BANDS, Band, BoostSettings, Choice, ForestSettings, Whole, resolve_granularity
+from slotlake.config import (
+    FOREST_SEARCH_SPACE, MEAL_BANDS, TWO_BANDS, Band, BoostSettings, Choice, ForestSettings, Whole, resolve_granularity,
+)
 from slotlake.operators import evaluate, split
 from slotlake.operators.cleaning import fill_numeric, numeric_columns
-from slotlake.plans import boosting, etl, linear, scoring, training
-from slotlake.schema import BOOKING_RECORD
+from slotlake.plans import boosting, etl, importance, linear, scoring, search, training
+from slotlake.schema import BOOKING_RECORD, FEATURE_COLUMNS
 from slotlake.session import freeze, new_path
 from slotlake.sources import payload
 from slotlake.streaming import scorer
@@ -225,6 +227,35 @@ def feature_importance(spark, sf):
         F.count("*").alias("n_features"), r6(F.sum("importance")).alias("total"))
 
 
+@query("gain_importance", f"""
+SELECT subset, feature, 1.0::DOUBLE AS total, true AS sound FROM (SELECT DISTINCT subset FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched')
+CROSS JOIN (SELECT unnest({list(FEATURE_COLUMNS)!r}) AS feature)""")
+def gain_importance(spark, sf):
+    """Gain times rows over all splits of all trees of every band; shares of a band add up to one."""
+    _, models, _ = _trained(spark, sf)
+    parts = [importance.gain_importance(m.model).withColumn("subset", F.lit(m.band.name)) for m in models]
+    found = freeze(reduce(DataFrame.unionByName, parts), "gains")
+    total = found.groupBy("subset").agg(r6(F.sum("share")).alias("total"))
+    used = (F.col("n_splits") > 0) == (F.col("gain") > 0)
+    return found.join(total, "subset").select("subset", "feature", "total", (used & _share("share")).alias("sound"))
+
+
+@query("permutation_importance", f"""
+SELECT b.subset, CAST(26 AS BIGINT) AS n_features, b.n, 0.0::DOUBLE AS constant, true AS sound FROM ({_BANDS_SQL}) b""")
+def permutation_importance(spark, sf):
+    """What each feature shuffled costs on all test rows of a band. A constant column costs nothing."""
+    df, parts = feature_rows(spark, sf).withColumn("constant", F.lit(1.0)), []
+    for band in MEAL_BANDS:
+        train, test = split.split_random(_band_rows(df, band), "booking_id")
+        model = training.fit_classifier(train, TARGET, model_features(df), _forest())
+        found = importance.permutation_importance(model, test, TARGET, "booking_id")
+        parts.append(found.agg(
+            F.lit(band.name).alias("subset"), F.count("*").alias("n_features"), F.max("n").alias("n"),
+            F.max(F.when(F.col("feature") == "constant", F.col("importance"))).alias("constant"),
+            F.bool_and(F.col("importance").between(-1, 1)).alias("sound")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("train_summary", f"""
 SELECT subset, count(*) AS n_samples, CAST(count_if(is_test) AS BIGINT) AS n, true AS sound FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched' GROUP BY subset""")
 def train_summary(spark, sf):
@@ -267,6 +298,28 @@ def param_search(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("sequential_search", f"""
+SELECT subset, origin, CAST(n_folds AS INT) AS n_folds, CAST(n AS BIGINT) AS n, true AS sound
+FROM (SELECT DISTINCT subset FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched')
+CROSS JOIN (VALUES ('random'), ('density')) AS o(origin) CROSS JOIN (VALUES (1, 2), (5, 1)) AS f(n_folds, n)""")
+def sequential_search(spark, sf):
+    """The whole declared space on every band, two batches of three trials so that one machine bears it: of each batch one trial
+    sees all five folds, two see one."""
+    df, parts = feature_rows(spark, sf), []
+    for band in MEAL_BANDS:
+        best, trials = search.search(
+            _band_rows(df, band), TARGET, "booking_id", model_features(df),
+            lambda p: training.forest_classifier(ForestSettings(p["trees"], p["depth"], p["min_leaf"])), FOREST_SEARCH_SPACE,
+            trials=6, batch=3, threads=8)
+        inside = F.lit(True)
+        for name, values in FOREST_SEARCH_SPACE.items():
+            drawn = F.col("params")[name].cast("int")
+            inside = inside & (drawn.isin(*values.options) if isinstance(values, Choice) else drawn.between(values.low, values.high))
+        parts.append(trials.groupBy("origin", "n_folds").agg(
+            F.count("*").alias("n"), F.bool_and(_share("accuracy") & inside).alias("sound")).withColumn("subset", F.lit(band.name)))
+    return reduce(DataFrame.unionByName, parts).select("subset", "origin", "n_folds", "n", "sound")
+
+
 @query("feature_ablation", f"""
 SELECT subset, variant, true AS sound FROM (SELECT DISTINCT subset FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched')
 CROSS JOIN (VALUES ('all_geo'), ('codes_only'), ('latlng_only'), ('no_geo')) AS v(variant)""")
