@@ -303,13 +303,13 @@ SELECT subset, origin, CAST(n_folds AS INT) AS n_folds, CAST(n AS BIGINT) AS n,
 FROM (SELECT DISTINCT subset FROM ({roles.SLOTTED_SQL}) WHERE subset <> '_unmatched')
 CROSS JOIN (VALUES ('random'), ('density')) AS o(origin) CROSS JOIN (VALUES (1, 2), (5, 1)) AS f(n_folds, n)""")
 def sequential_search(spark, sf):
-    """The whole declared space on every band, two batches of three trials so that one machine bears it: of each batch one trial
-    sees all five folds, two see one."""
+    """Draws from the whole declared space on every band, two batches of three trials: of each batch one trial sees all five
+    folds, two see one. Fits grow a twentieth of the drawn trees, as ``FOREST`` does, so that one machine bears it."""
     df, parts = feature_rows(spark, sf), []
     for band in MEAL_BANDS:
         best, trials = search.search(
             _band_rows(df, band), TARGET, "booking_id", model_features(df),
-            lambda p: training.forest_classifier(ForestSettings(p["trees"], p["depth"], p["min_leaf"])), FOREST_SEARCH_SPACE,
+            lambda p: training.forest_classifier(ForestSettings(p["trees"] // 20, p["depth"], p["min_leaf"])), FOREST_SEARCH_SPACE,
             trials=6, batch=3, threads=8)
         inside = F.lit(True)
         for name, values in FOREST_SEARCH_SPACE.items():
