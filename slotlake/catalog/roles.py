@@ -134,6 +134,47 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- the three tables as they arrive: declared columns that the roles above leave out, and broken values ----
+
+RAW_BOOKINGS_SQL = f"""
+SELECT * REPLACE (
+    CASE purpose WHEN 'view' THEN '家人用餐' WHEN 'click' THEN '朋友聚餐' WHEN 'signup' THEN '生日慶祝' WHEN 'purchase' THEN purpose END AS purpose,
+    CASE WHEN booking_id % 50 <> 0 THEN status END AS status,
+    CASE WHEN booking_id % 40 = 0 THEN 0 ELSE people END AS people,
+    CASE WHEN booking_id % 30 <> 0 THEN member_id END AS member_id)
+FROM ({EVENT_BOOKINGS_SQL})
+"""
+RAW_MEMBERS_SQL = """
+SELECT c_custkey AS id, CAST(c_nationkey % 4 AS INT) AS is_vip, CASE WHEN c_nationkey % 5 = 0 THEN 'X' WHEN c_nationkey % 2 = 0 THEN 'F' END AS gender,
+       CAST(c_acctbal > 0 AS INT) AS has_google, CASE WHEN c_acctbal > 500 THEN 1 END AS has_yahoo, CAST(c_nationkey % 2 AS INT) AS has_weibo,
+       CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS cdate
+FROM customer WHERE c_custkey % 10 <> 3
+"""
+RAW_RESTAURANTS_SQL = f"""
+SELECT r.* REPLACE (CASE WHEN s_nationkey = 4 THEN 95 ELSE lat END AS lat), CASE WHEN s_nationkey % 8 <> 0 THEN s_name END AS name, s_name AS cdate
+FROM ({RESTAURANTS_SQL}) r JOIN supplier ON id = s_suppkey
+"""
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Bookings, members and restaurants with every declared column; values break rules of each kind."""
+    bookings, key = event_bookings(spark, sf_dir), F.col("booking_id")
+    purpose = F.create_map(*[F.lit(v) for v in ("view", "家人用餐", "click", "朋友聚餐", "signup", "生日慶祝", "purchase", "purchase")])
+    bookings = bookings.withColumns({
+        "purpose": purpose[F.col("purpose")], "status": F.when(key % 50 != 0, F.col("status")),
+        "people": F.when(key % 40 == 0, 0).otherwise(F.col("people")), "member_id": F.when(key % 30 != 0, F.col("member_id"))})
+    nation_key, balance = F.col("c_nationkey"), F.col("c_acctbal")
+    members = table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 3").select(
+        F.col("c_custkey").alias("id"), (nation_key % 4).alias("is_vip"),
+        F.when(nation_key % 5 == 0, "X").when(nation_key % 2 == 0, "F").alias("gender"), (balance > 0).cast("int").alias("has_google"),
+        F.when(balance > 500, 1).alias("has_yahoo"), (nation_key % 2).alias("has_weibo"),
+        F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).alias("cdate"))
+    names = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") % 8 != 0, F.col("s_name")).alias("name"), F.col("s_name").alias("cdate"), "s_nationkey")
+    places = restaurants(spark, sf_dir).join(names, "id").withColumn("lat", F.when(F.col("s_nationkey") == 4, 95.0).otherwise(F.col("lat")))
+    return {"bookings": bookings, "members": members, "restaurants": places.drop("s_nationkey")}
+
+
 STAR_COLUMNS_SQL = """
 SELECT b.*, r.is_hotel, r.city, r.cityarea, r.good_for_family, r.accept_credit_card, r.parking,
        r.outdoor_seating, r.wifi, r.wheelchair_accessible, r.price1, r.price2, r.lat, r.lng,

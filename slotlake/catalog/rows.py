@@ -13,7 +13,7 @@ from slotlake.config import resolve_granularity
 from slotlake.functions import temporal, values
 from slotlake.operators import cleaning, joins, profile
 from slotlake.operators.routing import route
-from slotlake.schema import BOOKING_RECORD, RESTAURANT_RULES, Rule
+from slotlake.schema import BOOKING_RECORD, RAW_RULES, RESTAURANT_RULES, Rule
 
 # --- calendar and clock features ---------------------------------------------------------------
 
@@ -420,6 +420,27 @@ def schema_conformance(spark, sf):
     return profile.constraint_report(roles.restaurants(spark, sf), rules)
 
 
+def _rule_sql(name: str, rule: Rule) -> str:
+    """A row of the report: the rule said in SQL."""
+    c, head = rule.column, f"SELECT '{name}' AS \"table\", '{rule.column}' AS \"column\", '{rule.kind}' AS rule, "
+    listed = ", ".join(repr(v) for v in rule.allowed)
+    if rule.kind == "unique":
+        return f"{head}CAST(coalesce(sum(n), 0) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM {name} GROUP BY {c} HAVING count(*) > 1)"
+    if rule.kind == "references":
+        other, key = rule.target
+        return f"{head}count(*) AS violations FROM {name} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {other} o WHERE o.{key} = x.{c})"
+    broken = {"not_null": f"{c} IS NULL", "allowed": f"{c} NOT IN ({listed})", "range": f"{c} NOT BETWEEN {rule.low} AND {rule.high}"}[rule.kind]
+    return f"{head}count(*) AS violations FROM {name} WHERE {broken}"
+
+
+@query("declared_rules", f"""
+WITH bookings AS ({roles.RAW_BOOKINGS_SQL}), members AS ({roles.RAW_MEMBERS_SQL}), restaurants AS ({roles.RAW_RESTAURANTS_SQL})
+""" + "\nUNION ALL ".join(_rule_sql(name, r) for name, rules in RAW_RULES.items() for r in rules))
+def declared_rules(spark, sf):
+    """Every declared rule of bookings, members and restaurants, references between them included."""
+    return profile.declared_report(roles.raw_tables(spark, sf), RAW_RULES)
+
+
 @query("category_levels", """
 SELECT DISTINCT 'event_type' AS "column", event_type AS label FROM events
 UNION ALL SELECT DISTINCT 'user_id', CAST(user_id AS VARCHAR) FROM events""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -268,25 +268,52 @@ def _breaks(rule: Rule) -> Column:
     raise ValueError(f"no row-wise rule {rule.kind!r}")
 
 
-def constraint_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Violations per rule: one pass for the row-wise rules, one count per unique key."""
-    row_rules = [r for r in rules if r.kind != "unique"]
-    one = df.agg(*[F.count_if(_breaks(r)).alias(f"v{i}") for i, r in enumerate(row_rules)])
+def _key_report(df: DataFrame, column: str, rules: Sequence[Rule], tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    """Rules on the values of one key column, from one count per value; a frequent value is one row of it."""
+    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("n"))
+    if len(rules) > 1:
+        counts = freeze(counts, "key-counts")
+    parts = []
+    for r in rules:
+        if r.kind == "unique":
+            broken = counts.filter("n > 1")
+        else:
+            table, key = r.target
+            known = tables[table].select(F.col(key).alias("_value"))
+            broken = counts.filter("_value IS NOT NULL").join(known, "_value", "left_anti")
+        parts.append(broken.agg(F.lit(column).alias("column"), F.lit(r.kind).alias("rule"),
+                                F.coalesce(F.sum("n"), F.lit(0)).alias("violations")))
+    return parts
+
+
+def constraint_report(df: DataFrame, rules: Sequence[Rule], tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Violations per rule: one pass for all row-wise rules, one count per value for all rules on a key column.
+
+    ``references`` looks its values up in ``tables``; a null refers to nothing and breaks no such rule.
+    """
+    row_rules = [r for r in rules if r.kind not in ("unique", "references")]
+    one = df.agg(*[F.count_if(_breaks(r)).alias(f"v{i}") for i, r in enumerate(row_rules)]) if row_rules else None
     entries = [F.struct(F.lit(r.column).alias("column"), F.lit(r.kind).alias("rule"),
                         F.col(f"v{i}").alias("violations")) for i, r in enumerate(row_rules)]
     parts = [one.select(F.inline(F.array(*entries)))] if row_rules else []
+    keyed: dict[str, list[Rule]] = {}
     for r in rules:
-        if r.kind == "unique":
-            counts = df.groupBy(r.column).agg(F.count("*").alias("n"))
-            parts.append(counts.agg(
-                F.lit(r.column).alias("column"), F.lit("unique").alias("rule"),
-                F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("violations")))
+        if r.kind in ("unique", "references"):
+            keyed.setdefault(r.column, []).append(r)
+    for column, mine in keyed.items():
+        parts += _key_report(df, column, mine, tables or {})
+    return reduce(DataFrame.unionByName, parts)
+
+
+def declared_report(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]]) -> DataFrame:
+    """``table, column, rule, violations`` of every rule of every table, references between them included."""
+    parts = [constraint_report(tables[name], mine, tables).select(F.lit(name).alias("table"), "*") for name, mine in rules.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """Rows that keep all row-wise rules, and rows that break one with the rules they break."""
-    named = [F.when(_breaks(r), F.lit(f"{r.column}:{r.kind}")) for r in rules if r.kind != "unique"]
+    named = [F.when(_breaks(r), F.lit(f"{r.column}:{r.kind}")) for r in rules if r.kind not in ("unique", "references")]
     marked = df.withColumn("broken_rules", F.array_compact(F.array(*named)))
     good = marked.filter(F.size("broken_rules") == 0).drop("broken_rules")
     return good, marked.filter(F.size("broken_rules") > 0)

@@ -50,10 +50,12 @@ class Rule:
     """One constraint on one column."""
 
     column: str
-    kind: str  # not_null | unique | allowed | range
+    kind: str  # not_null | unique | allowed | range | references
     allowed: tuple = ()
     low: float | None = None
     high: float | None = None
+    #: ``(table, column)`` that holds every value but null
+    target: tuple[str, str] | None = None
 
 
 def _flags(*columns: str) -> list[Rule]:
@@ -90,3 +92,8 @@ RESTAURANT_RULES = [
     Rule("lat", "range", low=-90.0, high=90.0),
     Rule("lng", "range", low=-180.0, high=180.0),
 ]
+BOOKING_REFERENCES = [
+    Rule("member_id", "references", target=("members", "id")),
+    Rule("restaurant_id", "references", target=("restaurants", "id")),
+]
+RAW_RULES = {"bookings": BOOKING_RULES + BOOKING_REFERENCES, "members": MEMBER_RULES, "restaurants": RESTAURANT_RULES}

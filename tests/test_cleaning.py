@@ -108,3 +108,21 @@ def test_constraints_and_quarantine(raw_bookings):
     good, bad = profile.quarantine(raw_bookings, rules)
     assert good.count() == 4
     assert {r["booking_id"]: r["broken_rules"] for r in bad.collect()} == {2: ["gender:not_null"], 6: ["people:range"]}
+
+
+def test_declared_report_of_references(spark):
+    """Nulls refer to nothing; a frequent unknown value counts with all its rows; equal keys are known once."""
+    orders = spark.createDataFrame([("a",), ("a",), ("b",), ("x",), ("x",), ("x",), (None,), (None,)], "who string")
+    people = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string")
+    rules = {"orders": [Rule("who", "references", target=("people", "id")), Rule("who", "not_null"), Rule("who", "unique")],
+             "people": [Rule("id", "unique")]}
+
+    def found(tables):
+        return {(r["table"], r["rule"]): r["violations"] for r in profile.declared_report(tables, rules).collect()}
+
+    assert found({"orders": orders, "people": people}) == {
+        ("orders", "references"): 3, ("orders", "not_null"): 2, ("orders", "unique"): 7, ("people", "unique"): 2}
+    assert found({"orders": orders, "people": people.limit(0)})[("orders", "references")] == 6
+    assert set(found({"orders": orders.limit(0), "people": people}).values()) == {0, 2}
+    good, bad = profile.quarantine(orders, rules["orders"])
+    assert (good.count(), bad.count()) == (6, 2)
