@@ -309,6 +309,24 @@ def one_hot_align(spark, sf):
     return encode.apply_one_hot(test, fitted)
 
 
+@query("one_hot_long", f"""
+WITH b AS (SELECT booking_id, {_RENAMED_SQL} AS purpose, gender, isodow(datetime) AS weekday, member_id
+      FROM (SELECT *, {is_test_sql('booking_id')} AS is_test FROM ({roles.EVENT_BOOKINGS_SQL}))),
+entries AS (SELECT booking_id, 'purpose' AS "column", purpose AS label FROM b UNION ALL SELECT booking_id, 'gender', gender FROM b
+            UNION ALL SELECT booking_id, 'weekday', CAST(weekday AS VARCHAR) FROM b UNION ALL SELECT booking_id, 'member_id', CAST(member_id AS VARCHAR) FROM b),
+kept AS (SELECT * FROM entries WHERE label IS NOT NULL AND NOT ("column" = 'weekday' AND label = '1')),
+levels AS (SELECT "column", label, row_number() OVER (ORDER BY "column", label) - 1 AS position
+           FROM (SELECT DISTINCT "column", label FROM kept WHERE NOT {is_test_sql('booking_id')}))
+SELECT booking_id, "column", position FROM kept JOIN levels USING ("column", label)""")
+def one_hot_long(spark, sf):
+    """The ones of all bookings by levels of the training rows, members included."""
+    rows = roles.event_bookings(spark, sf).select(
+        "booking_id", _renamed().alias("purpose"), "gender", temporal.iso_weekday(F.col("datetime")).alias("weekday"), "member_id")
+    columns = ["purpose", "gender", "weekday", "member_id"]
+    levels = encode.one_hot_levels(split.split_random(rows, "booking_id")[0], columns)
+    return encode.one_hot_long(rows, "booking_id", levels, columns)
+
+
 @query("scale_numeric", f"""
 WITH t AS (SELECT event_id, value, user_id, {is_test_sql('event_id')} AS is_test FROM events),
 f AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu, stddev_pop(user_id) AS su FROM t WHERE NOT is_test)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotlake import constants as K
@@ -14,6 +14,10 @@ from slotlake.operators.ranking import sorted_codes
 from slotlake.session import freeze
 
 
+#: Levels that may become columns of a frame.
+WIDE_LEVELS = 4096
+
+
 # --- labels -----------------------------------------------------------------------------------
 
 def fit_levels(train: DataFrame, columns: Sequence[str] = K.CATEGORICAL_COLUMNS) -> DataFrame:
@@ -113,13 +117,18 @@ def level_text(df: DataFrame, column: str) -> Column:
     return c.cast("string")
 
 
+def _level_entries(df: DataFrame, columns: Sequence[str]) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("column"), level_text(df, c).alias("label")) for c in columns])
+
+
 def fit_one_hot(train: DataFrame, columns: Sequence[str],
-                baselines: Mapping[str, str] = K.ONE_HOT_BASELINES) -> OneHot:
-    """Levels of the training rows. They become column names, so the driver has to know them."""
+                baselines: Mapping[str, str] = K.ONE_HOT_BASELINES, limit: int = WIDE_LEVELS) -> OneHot:
+    """Levels of the training rows. They become column names, so the driver has to know them; beyond ``limit`` levels
+    in all it refuses, and ``one_hot_levels`` with ``one_hot_long`` is the way."""
     present = [c for c in columns if c in train.columns]
-    entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), level_text(train, c).alias("label")) for c in present])
-    rows = train.select(F.inline(entries)).filter("label is not null").distinct().collect()
+    rows = train.select(F.inline(_level_entries(train, present))).filter("label is not null").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} levels in {present}: use one_hot_levels and one_hot_long")
     numeric = {c for c in present if dict(train.dtypes)[c] != "string"}
     levels: dict[str, list[str]] = {}
     for c in present:
@@ -140,6 +149,27 @@ def apply_one_hot(df: DataFrame, fitted: OneHot) -> DataFrame:
     return df.withColumns(dummies).drop(*fitted.levels)
 
 
+def one_hot_levels(train: DataFrame, columns: Sequence[str], baselines: Mapping[str, str] = K.ONE_HOT_BASELINES) -> DataFrame:
+    """``column, label, position``: a written table of the training levels without baselines, numbered from 0 by column
+    and label as text. However many there are, none reaches the driver."""
+    present = [c for c in columns if c in train.columns]
+    base = F.create_map(*[F.lit(v) for kv in baselines.items() for v in kv])[F.col("column")] if baselines else F.lit(None)
+    found = train.select(F.inline(_level_entries(train, present))).filter(F.col("label").isNotNull() & ~F.col("label").eqNullSafe(base))
+    coded = freeze(sorted_codes(found.distinct()), "one-hot-levels")
+    before = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
+    starts = coded.groupBy("column").agg(F.count("*").alias("_n")).select(  # one row a column
+        "column", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return freeze(coded.join(starts, "column").select("column", "label", (F.col("_start") + F.col("code")).alias("position")), "one-hot-positions")
+
+
+def one_hot_long(df: DataFrame, key: str, levels: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``key, column, position`` of every one in the one-hot matrix. Missing, unseen and baseline values have no row, as a
+    wide row has zeros for them; a column that ``df`` lacks has none."""
+    present = [c for c in columns if c in df.columns]
+    rows = df.select(F.col(key).alias("_key"), F.inline(_level_entries(df, present)))
+    return rows.join(levels, ["column", "label"]).select(F.col("_key").alias(key), "column", "position")
+
+
 def fit_scaling(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column; a constant column is divided by 1."""
     row = train.agg(*[F.avg(c).alias(f"m:{c}") for c in columns],

@@ -7,7 +7,7 @@ give the same numbers from bounded pieces:
 * ``order_statistics`` narrows a value range with mergeable sketches, proves by counting that
   the wanted rank lies inside it, and sorts only what is left;
 * ``rank_in_group`` ranks inside small hash ranges and adds the sizes of the ranges before;
-* ``sorted_codes`` does the same for text labels, with boundaries taken from the labels.
+* ``sorted_codes`` numbers distinct text labels, dealt by range.
 """
 
 from __future__ import annotations
@@ -244,33 +244,21 @@ def rank_in_group(df: DataFrame, group: Sequence[str], key: str, rank: str = "ra
     )
 
 
-def sorted_codes(labels: DataFrame, direct_limit: int = 200_000, pieces: int = 1_000) -> DataFrame:
+def sorted_codes(labels: DataFrame, pieces: int | None = None) -> DataFrame:
     """Add ``code``: the 0-based place of ``label`` among the sorted labels of its ``column``.
 
-    ``labels`` holds distinct ``(column, label)`` rows. Past ``direct_limit`` labels a column is
-    ranked piece by piece, between boundaries drawn from its own labels.
+    ``labels`` holds distinct ``(column, label)`` rows. They are dealt by range and written once, each with its
+    partition as its piece; places inside a piece and the sizes of the pieces before it give the code. The driver sees no
+    label. The number of pieces is that of shuffle partitions unless given.
     """
-    sizes = {r["column"]: r["n"] for r in labels.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    small = [c for c, n in sizes.items() if n <= direct_limit]
-    by_label = Window.partitionBy("column").orderBy("label")
-    coded = labels.filter(F.col("column").isin(small)).withColumn(
-        "code", (F.row_number().over(by_label) - 1).cast("int"))
-    for column, n in sizes.items():
-        if n <= direct_limit:
-            continue
-        mine = labels.filter(F.col("column") == column)
-        step = max(1, n // pieces)
-        drawn = mine.filter(F.pmod(F.xxhash64("label"), F.lit(step)) == 0).select("label")
-        edges = sorted(r["label"] for r in drawn.collect())
-        piece = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("label"))) if edges else F.lit(0)
-        placed = mine.withColumn("_piece", piece)
-        sums = placed.groupBy("_piece").agg(F.count("*").alias("_n")).collect()
-        starts, total = {}, 0
-        for r in sorted(sums, key=lambda r: r["_piece"]):
-            starts[r["_piece"]] = total
-            total += r["_n"]
-        start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("_piece")]
-        inner = Window.partitionBy("_piece").orderBy("label")
-        coded = coded.unionByName(placed.withColumn(
-            "code", (F.row_number().over(inner) - 1 + start).cast("int")).drop("_piece"))
-    return coded
+    dealt = labels.repartitionByRange(pieces, "column", "label") if pieces else labels.repartitionByRange("column", "label")
+    by_range = dealt.withColumn("_piece", F.spark_partition_id())
+    placed = freeze(by_range, "label-pieces")
+    earlier = Window.partitionBy("column").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # one number per column and piece; written out, so that its true size decides the join
+    offsets = freeze(
+        placed.groupBy("column", "_piece").agg(F.count("*").alias("_n"))
+        .select("column", "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")), "label-offsets")
+    inside = Window.partitionBy("column", "_piece").orderBy("label")
+    return placed.withColumn("_row", F.row_number().over(inside) - 1).join(offsets, ["column", "_piece"]).select(
+        *labels.columns, (F.col("_row") + F.col("_offset")).cast("int").alias("code"))

@@ -58,3 +58,26 @@ def test_scaling_uses_population_deviation(spark, parts):
     assert got[0] == 0.0 and got[1] is None
     constant = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert encode.fit_scaling(constant, ["x"]) == {"x": (2.0, 1.0)}
+
+
+def test_one_hot_in_long_form(parts, spark):
+    train, test = parts
+    columns = ["weekday", "dining_purpose", "absent"]
+    levels = encode.one_hot_levels(train, columns)
+    assert sorted((r["column"], r["label"], r["position"]) for r in levels.collect()) == [
+        ("dining_purpose", "a", 0), ("dining_purpose", "b", 1), ("weekday", "2", 2), ("weekday", "3", 3)]
+    got = {(r["id"], r["column"], r["position"]) for r in encode.one_hot_long(train.unionByName(test), "id", levels, columns).collect()}
+    assert got == {(1, "dining_purpose", 1), (2, "dining_purpose", 0), (2, "weekday", 2), (3, "weekday", 3), (4, "dining_purpose", 0)}
+    assert encode.one_hot_levels(train.limit(0), columns).count() == 0
+
+
+def test_a_million_levels_stay_off_the_driver(spark):
+    rows = spark.range(1_000_000).selectExpr("id", "cast(id as string) as name")
+    with pytest.raises(ValueError, match="one_hot_long"):
+        encode.fit_one_hot(rows, ["name"])
+    levels = encode.one_hot_levels(rows, ["name"])
+    found = levels.selectExpr("count(*)", "count(distinct position)", "min(position)", "max(position)").first()
+    assert tuple(found) == (1_000_000, 1_000_000, 0, 999_999)
+    places = {r.label: r.position for r in levels.filter("label in ('0', '1', '10', '999999')").collect()}
+    assert places["0"] == 0 and places["1"] == 1 and places["10"] == 2 and places["999999"] == 999_999
+    assert encode.one_hot_long(rows, "id", levels, ["name"]).count() == 1_000_000

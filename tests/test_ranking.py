@@ -67,7 +67,7 @@ def test_sorted_codes_in_pieces(spark):
     labels = sorted({f"Customer#{i * 37 % 1000:05d}" for i in range(1000)} | {"北", "a", "Z"})
     df = spark.createDataFrame([("c", v) for v in labels] + [("small", "y"), ("small", "x")], "column string, label string")
     direct = {(r["column"], r["label"]): r["code"] for r in ranking.sorted_codes(df).collect()}
-    pieces = {(r["column"], r["label"]): r["code"] for r in ranking.sorted_codes(df, direct_limit=10, pieces=20).collect()}
+    pieces = {(r["column"], r["label"]): r["code"] for r in ranking.sorted_codes(df, pieces=20).collect()}
     assert direct == pieces == {**{("c", v): i for i, v in enumerate(labels)}, ("small", "x"): 0, ("small", "y"): 1}
 
 
