@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ ROUNDS, FREQUENT = 8, 4
 #: Words whose ids a worker remembers.
 MEMORY = 800_000
 #: Texts that are encoded at once.
-SLICE = 1000
+SLICE = 2000
 
 _SHARD = ("part int, first_id long, n_ids long, vocabulary int, docs binary, sizes binary, ends binary, left binary, right binary, "
           "lengths binary, sequence binary, null_docs binary")
@@ -63,27 +64,21 @@ def _learn(path: str, known: dict[str, bytes], words: list[str]) -> None:
     still ends in a letter; words of plain letters go to the merges as they are, in lower case; the other words, also
     those that hold an added token, are encoded many at a time and told apart by their places."""
     merges, normal = tokenizer(path).model.tokenize, tokenizer(path).normalizer
-    others: dict[str, None] = {}
-    marked = []
-
-    def learn(word: str) -> None:
-        if word.isascii() and word.isalpha():
-            known[word] = np.array([t.id for t in merges(word.lower())], np.int32).tobytes()
-        else:
-            others[word] = None
-
+    marked, fresh = [], dict.fromkeys(words)
     for word in words:
         core, mark = word[:-1], word[-1:]
         if mark in ".,;:!?" and core.isalpha() and (core.isascii() or normal.normalize_str(core)[-1:].isalpha()):
             marked.append((word, core, mark))
-            for part in (core, mark):
-                if part not in known:
-                    learn(part)
+            del fresh[word]
+    fresh.update((part, None) for _, core, mark in marked for part in (core, mark) if part not in known)
+    others = []
+    for word in fresh:
+        if word.isascii() and word.isalpha():
+            known[word] = array("i", [t.id for t in merges(word.lower())]).tobytes()
         else:
-            learn(word)
-    new = list(others)
-    for at in range(0, len(new), 8192):
-        part = new[at:at + 8192]
+            others.append(word)
+    for at in range(0, len(others), 8192):
+        part = others[at:at + 8192]
         encoded = tokenizer(path).encode(" ".join(part), add_special_tokens=False)
         ends = np.cumsum([len(word) + 1 for word in part])
         place = np.searchsorted(ends, [a for a, _ in encoded.offsets], "right")
@@ -112,9 +107,12 @@ def encode_column(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         known[""] = b""
     words = pc.ascii_split_whitespace(texts)
     coded = words.values.dictionary_encode()
-    different = coded.dictionary.to_pylist()
-    _learn(path, known, [w for w in different if w not in known])
-    parts = [known[w] for w in different]
+    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    parts = list(map(known.get, different))
+    new = [i for i, p in enumerate(parts) if p is None]
+    _learn(path, known, [different[i] for i in new])
+    for i in new:
+        parts[i] = known[different[i]]
     sizes = np.array([len(p) // 4 for p in parts], np.int64)
     which = coded.indices.to_numpy()
     each = sizes[which]
