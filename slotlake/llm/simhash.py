@@ -16,8 +16,8 @@ members are linked over midpoints instead: fingerprints differ in two bits or fe
 a fingerprint that differs from each in one bit or none, so each member is listed under its 65 midpoints
 and linked to the smallest listed there. That is linear in the members and just as exact.
 
-``similar_by_leaders``, ``similar`` and ``keep_one_similar`` compare five-word shingles by exact Jaccard similarity
-instead: that is what the pipeline's stage takes as near copies, far wider than two bits.
+``similar``, ``similar_by_leaders`` and ``keep_one_similar`` compare five-word shingles by exact Jaccard similarity
+instead: that is what the pipeline's stage takes as near copies, far wider than two bits. ``similar`` loses no link.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Repeated rows share a
 class. No rows: no rows.
@@ -45,7 +45,7 @@ DISTANCE = 2
 #: Bits of a cell, check references, and classes of a bucket that are still compared pair by pair.
 CELL_BITS, CHECKS, CROWD = 2, 16, 32
 #: Near copies by similarity: words of a shingle, the least Jaccard similarity as a fraction, and the bits in
-#: which fingerprints may differ. At 0.8 they differ in 10 on average, by 3:
+#: which fingerprints of texts and their leaders may differ. At 0.8 they differ in 10 on average, by 3:
 #: by the binomial a link is lost with a chance of 3 * 10^-6, between sets of 4 and 5 shingles, where votes tie, 10^-4.
 WORDS, PART, WHOLE, REACH = 5, 4, 5, 24
 #: Bands and hash functions of a band: 0.8 meets in one of 16 bands with probability 0.998, 0.6 with 0.73. Shingles
@@ -54,6 +54,8 @@ WORDS, PART, WHOLE, REACH = 5, 4, 5, 24
 BANDS, HASHES, BLOCK, DRAWS, HOPS = 16, 5, 1 << 19, (1, 4, 4), 3
 #: Texts that the order of shingles is drawn from, and shingles in it.
 ORDER_ROWS, COMMON = 4000, 100_000
+#: Parts of a set at least, longs of its parities, and texts of a part that all its others are compared with first.
+LEAST_PARTS, PARITIES, FIRST = 16, 16, 3
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -208,18 +210,71 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
 
 # Near copies by similarity: word shingles, Jaccard
 
-def shingle_sets(docs: DataFrame, common: dict[int, int], id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
-    """``doc_id``, ``mark``, ``key`` (a hash of the set of shingles), ``n`` shingles, ``fp`` and ``prefix``.
+def _roles(n: int) -> list[tuple[int, int]]:
+    """The levels at which a set of ``n`` shingles meets its partners, and in how many shingles it may differ from them.
+
+    A level has the pairs whose smaller set has ``2 ** level`` shingles or more, and fewer than twice that. Sets of
+    ``a`` and ``b`` shingles have the similarity if they differ in ``(a + b) * (WHOLE - PART) / (WHOLE + PART)`` or fewer.
+    """
+    level = n.bit_length() - 1
+    roles = [(level, (n + n * WHOLE // PART) * (WHOLE - PART) // (WHOLE + PART))]
+    below = (1 << level) - 1
+    if below and below * WHOLE >= n * PART:
+        roles.append((level - 1, (n + below) * (WHOLE - PART) // (WHOLE + PART)))
+    return roles
+
+
+def _parts(level: int) -> int:
+    """Parts of a level: more than any two of its sets may differ in, and few enough to hold several shingles each."""
+    return max((2 << level) // 3 + 1, LEAST_PARTS)
+
+
+def part_keys(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Hashes of the parts under which a set of shingles meets all sets of the similarity.
 
-    In any order of all shingles, two sets of Jaccard ``PART / WHOLE`` or more share one of the first
-    ``n - ceil(n * PART / WHOLE) + 1`` of either. The order is by how often ``common`` has a shingle, then
-    by hash, so that the prefixes are rare ones.
+    Shingles are dealt over the parts of a level by hash. Sets that differ in ``d`` shingles differ in ``d`` parts at most,
+    so in any order of all parts by their contents, the first ``d + 1`` of either set hold one that both have.
+    The order puts parts first that hold a rare shingle, then large ones; empty ones are last.
     """
+    n, out = len(found), []
+    value = found * np.uint64(0x9E3779B97F4A7C15)
+    value ^= value >> np.uint64(32)
+    for level, apart in _roles(n) if n else []:
+        parts = _parts(level)
+        part = (value % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        content, where = np.add.reduceat(value[order], starts), part[starts]
+        size, rarest = np.diff(starts, append=n), np.minimum.reduceat(often[order], starts)
+        if len(starts) <= apart:
+            empty = np.setdiff1d(np.arange(parts), where)
+            content, where = np.append(content, np.zeros(len(empty), np.uint64)), np.append(where, empty)
+            size = np.append(size, np.zeros(len(empty), np.int64))
+            rarest = np.append(rarest, np.full(len(empty), np.iinfo(np.int64).max))
+        name = (content ^ (where * 64 + level + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
+        name ^= name >> np.uint64(29)
+        out.append(name[np.lexsort((name, -size, rarest))[:apart + 1]])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """``64 * PARITIES`` bits: whether an odd number of the shingles fall there. Two sets differ in as many shingles, at
+    least, as bits differ."""
+    value = found * np.uint64(0xD6E8FEB86659FD93)
+    bits = np.bincount((value >> np.uint64(32)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(bits.astype(np.bool_), bitorder="little").view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, common: dict[int, int], id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """``doc_id``, ``mark``, ``key`` (a hash of the set of shingles), ``n`` shingles, ``parts`` (``part_keys``) and ``odd``
+    (``parities``). How often ``common`` has a shingle says how rare it is. A text without words has no parts; such
+    texts share their key."""
     names = np.array(sorted(common), np.int64)
     times = np.array([common[k] for k in names.tolist()], np.int64)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, sizes, prints, prefixes = [], [], [], []
+        keys, sizes, parts, odd = [], [], [], []
         for text in batch.column("text"):
             found = np.unique(shingle_hashes(text.as_py(), shingle))
             signed, n = found.view(np.int64), len(found)
@@ -227,22 +282,21 @@ def shingle_sets(docs: DataFrame, common: dict[int, int], id_col: str = "doc_id"
             if len(names) and n:
                 at = np.minimum(np.searchsorted(names, signed), len(names) - 1)
                 often = np.where(names[at] == signed, times[at], 0)
-            length = n - -(-n * PART // WHOLE) + 1 if n else 0
             keys.append(_signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)))
             sizes.append(n)
-            prints.append(_signed(_majority(found)))
-            prefixes.append(signed[np.lexsort((signed, often))[:length]])
+            parts.append(part_keys(found, often).view(np.int64))
+            odd.append(parities(found))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("mark"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "n", "fp", "prefix"])
+             pa.array(parts, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "n", "parts", "odd"])
 
     rows = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return map_batches(rows, run, "doc_id long, mark long, key long, n long, fp long, prefix array<long>")
+    return map_batches(rows, run, "doc_id long, mark long, key long, n long, parts array<long>, odd array<long>")
 
 
 def common_shingles(docs: DataFrame, text_col: str = "text", shingle: int = WORDS) -> dict[int, int]:
     """Shingles that several of about ``ORDER_ROWS`` texts have, the ``COMMON`` most frequent. They only decide the
-    order of the prefixes, which changes the work and never the links."""
+    order of the parts, which changes the work and never the links."""
     every = max(1, docs.count() // ORDER_ROWS)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -261,6 +315,13 @@ def _may_link(a: str, b: str, distance: int) -> Column:
             & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance))
 
 
+def _may_be_similar(a: str, b: str) -> Column:
+    """Sizes that allow the similarity, and no more differing parities than it allows."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(PARITIES)), F.lit(0))
+    return (F.least(na, nb) * WHOLE >= F.greatest(na, nb) * PART) & (differ * (WHOLE + PART) <= (na + nb) * (WHOLE - PART))
+
+
 def sets_of(wanted: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str = "text", shingle: int = WORDS) -> DataFrame:
     """``key`` and ``shingles`` of the keys in ``wanted``. Only texts with these keys are read for their sets, found
     through a Bloom filter of their marks."""
@@ -290,34 +351,38 @@ def _keys(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, distance: int = REACH) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, mark and ``root``, the same for texts that links connect. A link is a Jaccard
-    similarity of word shingles of ``PART / WHOLE`` or more, among pairs within ``distance`` bits.
+    similarity of word shingles of ``PART / WHOLE`` or more.
 
-    The exact way: its work may grow with the square of a group whose texts are all just short of the similarity.
-    Candidates share a shingle of their prefixes, which loses no pair; sizes and fingerprints discard; the
-    sets decide. Under each shingle all are first compared with one, so that large groups grow together in
-    linear work; then only pairs of different groups are compared.
+    Exact: sets of the similarity share a part (``part_keys``), sizes and parities discard only what is less similar, and the
+    sets decide. All texts of a part are first compared with a few of them, so that large groups grow
+    together in linear work; then every pair of a part whose texts are in different groups. Only texts that are in no
+    group, though they share parts with many others, cost the square of their number, and that in parities alone.
     """
-    rows = freeze(shingle_sets(docs, common_shingles(docs, text_col, shingle), id_col, text_col, shingle), "prefixes")
-    shared = freeze(rows.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    posted = rows.select(F.explode("prefix").alias("h"), "key", "n", "fp")
-    posted = freeze(mark_members(posted, shared).where("suspect").drop("suspect").distinct(), "postings")
-    lead = freeze(posted.groupBy("h").agg(F.min_by(F.struct("key", "n", "fp"), F.xxhash64("key", "h")).alias("y")), "leaders")
-    x = posted.select("h", F.struct("key", "n", "fp").alias("x"))
-    first = freeze(x.join(lead, "h").where("x.key <> y.key").where(_may_link("x", "y", distance))
-                   .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "candidates")
+    rows = freeze(shingle_sets(docs, common_shingles(docs, text_col, shingle), id_col, text_col, shingle), "parts")
+    shared = rows.select(F.explode("parts").alias("h"), "key").groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    posted = rows.select(F.explode("parts").alias("h"), "key", "n", "odd")
+    shared = freeze(shared.where("lo <> hi").select("h"), "shared")
+    posted = mark_members(posted, shared).where("suspect").drop("suspect").distinct()
+    posted = freeze(posted.join(shared, "h", "left_semi"), "postings")
+    drawn = F.array(*[F.min_by("key", F.xxhash64("key", F.lit(d))) for d in range(FIRST)])
+    drawn = posted.groupBy("h").agg(drawn.alias("ys")).select("h", F.explode(F.array_distinct("ys")).alias("key"))
+    lead = freeze(posted.join(freeze(drawn, "drawn"), ["h", "key"], "left_semi"), "leaders")
+    side = lambda t, name, *more: t.select("h", F.struct("key", "n", "odd", *more).alias(name))
+    pair = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
+    first = side(posted, "x").join(side(lead, "y"), "h").where("x.key <> y.key").where(_may_be_similar("x", "y"))
+    first = freeze(first.select(*pair).distinct(), "candidates")
     links = verified(first, sets_of(_keys(first), docs, rows, text_col, shingle))
     group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
     placed = freeze(posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
     open_ = freeze(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "open")
     left = freeze(placed.join(open_, "h", "left_semi"), "open_postings")
-    x, y = (left.select("h", F.struct("key", "n", "fp", "root").alias(side)) for side in ("x", "y"))
-    rest = (x.join(y, "h").where("x.root < y.root").where(_may_link("x", "y", distance))
-            .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
-    rest = freeze(rest.join(first, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(verified(rest, sets_of(_keys(rest), docs, rows, text_col, shingle)))
-    group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
+    rest = side(left, "x", "root").join(side(left, "y", "root"), "h").where("x.root < y.root").where(_may_be_similar("x", "y"))
+    rest = freeze(rest.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "candidates")
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, sets_of(_keys(rest), docs, rows, text_col, shingle)))
+        group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
     return rows.join(group, "key", "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
 
 
@@ -390,7 +455,7 @@ def _leaders(posted: DataFrame, turn: int, draws: int) -> DataFrame:
 
 def similar_by_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, distance: int = REACH,
                        draws: tuple[int, ...] = DRAWS) -> DataFrame:
-    """As ``similar``, in work that is linear in the rows however large a group of like texts is.
+    """As ``similar`` but for lost links, in work that is linear in the rows however large a group of like texts is.
 
     Texts that agree in a band are in one bucket. A round draws leaders of every open bucket, as many as ``draws`` says
     for it, and each text is compared exactly with as many of the leaders it meets, those it shares most buckets with and
@@ -430,6 +495,6 @@ def similar_by_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(group, "key", "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, exact: bool = False) -> DataFrame:
-    """The rows of ``docs``, one of each group of like texts: by leaders, or with ``exact`` by ``similar``."""
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, exact: bool = True) -> DataFrame:
+    """The rows of ``docs``, one of each group of like texts: by ``similar``, or without ``exact`` by leaders, which lose links."""
     return one_of_each(docs, (similar if exact else similar_by_leaders)(docs, id_col, text_col, shingle), id_col, text_col)

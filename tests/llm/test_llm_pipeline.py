@@ -66,6 +66,42 @@ def test_recall_of_leaders(spark, docs_dir):
         print("recall of links", joined, len(links))
 
 
+def test_near_stage_loses_no_link(spark):
+    """Groups whose texts are all near 0.8, so that most of a text's partners are just short of it; short texts; lone links."""
+    draw, rows = B.np.random.default_rng(7), []
+    for length, times, changes in ((200, 150, 3), (60, 100, 2), (12, 60, 1), (700, 40, 9)):
+        for _ in range(times):
+            words = [f"{length}w{i}" for i in range(length)]
+            for i in draw.choice(length, changes - int(draw.integers(2)), replace=False):
+                words[i] = f"x{len(rows)}_{i}"
+            rows.append((len(rows), " ".join(words), "s"))
+    for n in range(5, 45):  # n - 4 shingles and a few more behind them, as many as just reach 0.8 or just miss it
+        for more in ((n - 4) // 4, (n - 4) // 4 + 1):
+            words = [f"{n}_{more}y{i}" for i in range(n + more)]
+            rows += [(len(rows), " ".join(words), "s"), (len(rows) + 1, " ".join(words[:n]), "s")]
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = nearest(rows)
+    assert B.counted(tuple(r) for r in got.collect()) == B.counted(want) and len(want) < len(rows) - 100
+
+
+def test_sets_of_the_similarity_share_a_part():
+    """And differ in no more parities than shingles."""
+    draw, checked = B.np.random.default_rng(1), 0
+    fresh = lambda n: draw.integers(0, 2**63, n, dtype=B.np.uint64)
+    for size in (2 ** draw.uniform(0, 9, 4000)).astype(int).tolist():
+        a = fresh(size)
+        b = B.np.unique(B.np.concatenate([a[int(draw.integers(size // 5 + 1)):], fresh(int(draw.integers(size // 4 + 2)))]))
+        a = B.np.unique(a)
+        both, either = len(B.np.intersect1d(a, b)), len(B.np.union1d(a, b))
+        bits = int(B.np.unpackbits((simhash.parities(a) ^ simhash.parities(b)).view(B.np.uint8)).sum())
+        assert bits <= either - both
+        if 5 * both >= 4 * either:
+            parts = [simhash.part_keys(x, (x % B.np.uint64(5)).astype(B.np.int64)) for x in (a, b)]
+            assert len(B.np.intersect1d(*parts)), (len(a), len(b))
+            checked += 1
+    assert checked > 1000
+
+
 def test_stages(spark, docs_dir, doc_rows):
     docs = spark.read.parquet(f"{docs_dir}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
