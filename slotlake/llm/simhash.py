@@ -361,23 +361,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     group, though they share parts with many others, cost the square of their number, and that in parities alone.
     """
     rows = freeze(shingle_sets(docs, common_shingles(docs, text_col, shingle), id_col, text_col, shingle), "parts")
+    sized = freeze(rows.select("key", "n", "odd").distinct(), "parities")
     shared = rows.select(F.explode("parts").alias("h"), "key").groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    posted = rows.select(F.explode("parts").alias("h"), "key", "n", "odd")
     shared = freeze(shared.where("lo <> hi").select("h"), "shared")
-    posted = mark_members(posted, shared).where("suspect").drop("suspect").distinct()
+    posted = mark_members(rows.select(F.explode("parts").alias("h"), "key"), shared).where("suspect").drop("suspect").distinct()
     posted = freeze(posted.join(shared, "h", "left_semi"), "postings")
     drawn = F.array(*[F.min_by("key", F.xxhash64("key", F.lit(d))) for d in range(FIRST)])
-    drawn = posted.groupBy("h").agg(drawn.alias("ys")).select("h", F.explode(F.array_distinct("ys")).alias("key"))
-    lead = freeze(posted.join(freeze(drawn, "drawn"), ["h", "key"], "left_semi"), "leaders")
+    drawn = freeze(posted.groupBy("h").agg(drawn.alias("ys")).select("h", F.explode(F.array_distinct("ys")).alias("key")), "drawn")
+    # parities, by far the longest column, are joined where they are compared: in order of their key, so that the next shuffle packs equal ones
     side = lambda t, name, *more: t.select("h", F.struct("key", "n", "odd", *more).alias(name))
     pair = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
-    first = side(posted, "x").join(side(lead, "y"), "h").where("x.key <> y.key").where(_may_be_similar("x", "y"))
+    first = side(posted.join(sized, "key"), "x").join(side(drawn.join(sized, "key"), "y"), "h").where("x.key <> y.key").where(_may_be_similar("x", "y"))
     first = freeze(first.select(*pair).distinct(), "candidates")
     links = verified(first, sets_of(_keys(first), docs, rows, text_col, shingle))
     group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
     placed = freeze(posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
     open_ = freeze(placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "open")
-    left = freeze(placed.join(open_, "h", "left_semi"), "open_postings")
+    left = freeze(placed.join(open_, "h", "left_semi").join(sized, "key"), "open_postings")
     rest = side(left, "x", "root").join(side(left, "y", "root"), "h").where("x.root < y.root").where(_may_be_similar("x", "y"))
     rest = freeze(rest.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "candidates")
     if not rest.isEmpty():

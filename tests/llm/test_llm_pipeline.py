@@ -1,5 +1,6 @@
 """The pipeline against plain versions of its stages; toxicity and mixture by what they promise."""
 
+import os
 from collections import Counter, defaultdict
 
 import llm_brute as B
@@ -84,6 +85,26 @@ def test_near_stage_loses_no_link(spark):
     assert B.counted(tuple(r) for r in got.collect()) == B.counted(want) and len(want) < len(rows) - 100
 
 
+def test_near_stage_writes_parities_once_a_text(spark, monkeypatch):
+    """They are its longest column; texts that share many parts do not have them written again for each part."""
+    draw, rows, written = B.np.random.default_rng(8), [], {}
+    for d in range(600):
+        words = [f"{d // 20}w{i}" for i in range(400)]
+        for i in draw.choice(400, 15, replace=False):
+            words[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(words)))
+
+    def noted(df, name, freeze=simhash.freeze):
+        out = freeze(df, name)
+        written[name] = max(written.get(name, 0), sum(os.path.getsize(f.removeprefix("file:").replace("//", "/")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "freeze", noted)
+    simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    by_part = sum(written.get(name, 0) for name in ("postings", "drawn", "leaders", "placed"))
+    assert 0 < by_part < written["parts"]
+
+
 def test_sets_of_the_similarity_share_a_part():
     """And differ in no more parities than shingles."""
     draw, checked = B.np.random.default_rng(1), 0
