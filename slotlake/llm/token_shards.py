@@ -37,7 +37,10 @@ END = 1
 SHARD_IDS = 1 << 18
 #: Rounds of replacement at most, and the count from which a pair is frequent.
 ROUNDS, FREQUENT = 8, 4
-#: Words whose ids a worker remembers.
+#: Letters whose normal form is their lower case, and marks that the tokenizer parts from letters before them.
+LETTERS = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(192, 256)]) if c not in "×÷")
+MARKS = ".,;:!?*#&%$"
+#: Pieces of words whose ids a worker remembers.
 MEMORY = 800_000
 #: Texts that are encoded at once.
 SLICE = 2000
@@ -59,24 +62,25 @@ def _memory(path: str) -> dict[str, bytes]:
     return {"": b""}
 
 
+@lru_cache(maxsize=2)
+def _letters(path: str) -> dict[int, str]:
+    """What the merges see in place of the letters beyond ASCII."""
+    shown = tokenizer(path).pre_tokenizer.pre_tokenize_str
+    return {ord(c): shown(c)[0][0] for c in LETTERS if not c.isascii()}
+
+
 def _learn(path: str, known: dict[str, bytes], words: list[str]) -> None:
-    """Add the ids of new words. A word of letters and one mark behind it has the ids of both, if its normal form
-    still ends in a letter; words of plain letters go to the merges as they are, in lower case; the other words, also
-    those that hold an added token, are encoded many at a time and told apart by their places."""
-    merges, normal = tokenizer(path).model.tokenize, tokenizer(path).normalizer
-    marked, fresh = [], dict.fromkeys(words)
-    for word in words:
-        core, mark = word[:-1], word[-1:]
-        if mark in ".,;:!?" and core.isalpha() and (core.isascii() or normal.normalize_str(core)[-1:].isalpha()):
-            marked.append((word, core, mark))
-            del fresh[word]
-    fresh.update((part, None) for _, core, mark in marked for part in (core, mark) if part not in known)
+    """Add the ids of new words. Words of ``LETTERS``, which come in lower case, go to the merges as they are; the other words,
+    also those that hold an added token, are encoded many at a time and told apart by their places."""
+    merges, letters = tokenizer(path).model.tokenize, _letters(path)
     others = []
-    for word in fresh:
+    for word in words:
         if word.isascii() and word.isalpha():
-            known[word] = array("i", [t.id for t in merges(word.lower())]).tobytes()
-        else:
+            known[word] = array("i", [t.id for t in merges(word)]).tobytes()
+        elif word.strip(LETTERS):
             others.append(word)
+        else:
+            known[word] = array("i", [t.id for t in merges(word.translate(letters))]).tobytes()
     for at in range(0, len(others), 8192):
         part = others[at:at + 8192]
         encoded = tokenizer(path).encode(" ".join(part), add_special_tokens=False)
@@ -85,7 +89,15 @@ def _learn(path: str, known: dict[str, bytes], words: list[str]) -> None:
         cuts = np.searchsorted(place, np.arange(len(part) + 1))
         ids = np.array(encoded.ids, np.int32)
         known.update((word, ids[a:b].tobytes()) for word, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
-    known.update((word, known[core] + known[mark]) for word, core, mark in marked)
+
+
+def _cut(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+    """The two pieces of each word. Of ``LETTERS`` with ``MARKS`` behind them, or none, they are the letters in lower case,
+    their normal form, and the marks: the tokenizer parts them there. Any other word is one piece, as it is."""
+    marks = pc.utf8_ltrim(words, characters=LETTERS)
+    simple = pc.and_(pc.equal(pc.utf8_rtrim(marks, characters=MARKS), ""), pc.not_equal(marks, words))
+    core = pc.if_else(simple, pc.utf8_lower(pc.utf8_rtrim(words, characters=MARKS)), words)
+    return core.dictionary_encode(), pc.if_else(simple, marks, "").dictionary_encode()
 
 
 def _copied(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,8 +110,8 @@ def encode_column(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each with the end id behind it, and where each begins and the last ends.
 
     The tokenizer drops white space and merges nothing across it, and its normal form composes nothing
-    with it, so the ids of a text are those of its words in a row. Every different word is looked up once;
-    words seen before come from memory.
+    with it, so the ids of a text are those of its words in a row. Every different piece of a word is looked up once;
+    pieces seen before come from memory.
     """
     known = _memory(path)
     if len(known) > MEMORY:
@@ -107,16 +119,20 @@ def encode_column(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         known[""] = b""
     words = pc.ascii_split_whitespace(texts)
     coded = words.values.dictionary_encode()
-    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    parts = list(map(known.get, different))
+    cores, marks = _cut(coded.dictionary)
+    pieces = [x for d in (cores, marks) for x in d.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    parts = list(map(known.get, pieces))
     new = [i for i, p in enumerate(parts) if p is None]
-    _learn(path, known, [different[i] for i in new])
+    _learn(path, known, list(dict.fromkeys(pieces[i] for i in new)))
     for i in new:
-        parts[i] = known[different[i]]
+        parts[i] = known[pieces[i]]
     sizes = np.array([len(p) // 4 for p in parts], np.int64)
+    pair = np.stack([cores.indices.to_numpy(), marks.indices.to_numpy() + len(cores.dictionary)], 1).ravel()
+    flat = _copied(np.frombuffer(b"".join(parts), np.int32), (np.cumsum(sizes) - sizes)[pair], sizes[pair])
+    sizes = sizes[pair].reshape(-1, 2).sum(axis=1)
     which = coded.indices.to_numpy()
     each = sizes[which]
-    ids = _copied(np.frombuffer(b"".join(parts), np.int32), (np.cumsum(sizes) - sizes)[which], each)
+    ids = _copied(flat, (np.cumsum(sizes) - sizes)[which], each)
     cuts = np.concatenate([[0], np.cumsum(each)])[words.offsets.to_numpy()]
     offsets = cuts + np.arange(len(cuts))
     out = np.empty(len(ids) + len(texts), np.int32)
@@ -238,14 +254,13 @@ def _bounds(docs: DataFrame, id_col: str, parts: int) -> np.ndarray:
     return np.array([min(int(b), np.iinfo(np.int64).max) for b in found], np.int64)
 
 
-def part_of(doc: int | None, check: int, bounds: np.ndarray) -> int:
-    """The part of a text; parts ascend with (id, checksum). An id that fills several parts, or a null one, is
+def parts_of(docs: pa.Array, checks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The parts of texts; parts ascend with (id, checksum). An id that fills several parts, or a null one, is
     spread over them by checksum."""
-    if doc is None:
-        low, high = len(bounds) + 1, 2 * len(bounds) + 1
-    else:
-        low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
-    return int(low + (int(high - low + (high > low)) * check >> 32)) if high > low else int(low)
+    none, ids = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
+    low = np.where(none, len(bounds) + 1, np.searchsorted(bounds, ids, "left"))
+    high = np.where(none, 2 * len(bounds) + 1, np.searchsorted(bounds, ids, "right"))
+    return low + ((high - low + (high > low)) * checks >> 32)
 
 
 def write(docs: DataFrame, tokens: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -264,10 +279,9 @@ def write(docs: DataFrame, tokens: str, path: str, id_col: str = "doc_id", text_
             docs_ = part.column("doc_id")
             ids, offsets = encode_column(tokens, part.column("text"))
             packed = [ids[a:b].astype(narrow).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            checks = [zlib.crc32(x) for x in packed]
-            where = [part_of(d, c, bounds) for d, c in zip(docs_.to_pylist(), checks)]
+            checks = np.array([zlib.crc32(x) for x in packed], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int32()), docs_, pa.array(checks, pa.int64()), pa.array(packed, pa.binary())],
+                [pa.array(parts_of(docs_, checks, bounds), pa.int32()), docs_, pa.array(checks), pa.array(packed, pa.binary())],
                 ["part", "doc_id", "check", "packed"])
 
     def shards(batches):

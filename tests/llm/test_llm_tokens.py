@@ -51,6 +51,33 @@ def test_letters_before_a_mark_and_added_tokens():
     assert [list(map(int, i)) for i in token_shards.encode_texts(P.path("word_bpe_49k.json"), texts)] == B.word_ids(texts)
 
 
+def test_letters_in_lower_case_are_looked_up_once():
+    path = P.path("word_bpe_49k.json")
+    known = token_shards._memory(path)
+    known.clear()
+    known[""] = b""
+    texts = ["Garden garden GARDEN Garden, garden!? GARDEN&&&", "Éclair éclair ÉCLAIR. it's a1 A1"]
+    assert [list(map(int, i)) for i in token_shards.encode_texts(path, texts)] == B.word_ids(texts)
+    assert set(known) == {"", "garden", "éclair", ",", "!?", "&&&", ".", "it's", "a1", "A1"}
+
+
+def test_letters_and_marks_are_parted_as_by_the_library():
+    letters, marks = [chr(c) for c in range(65, 0x250) if chr(c).isalpha()], token_shards.MARKS
+    assert set(token_shards.LETTERS) <= set(letters)
+    tails = [*marks, *[a + b for a in marks for b in marks], "'s", "'s.", ".'s", "…", "×", "÷.", "\u0301.", "\u0331", "1.", ".1", ".a", "\u00a0."]
+    texts = [" ".join(f"{c}{t} x{c.upper()}{t} {c}H{t}" for t in tails) for c in letters]
+    texts += [" ".join(f"{t}{c}" for t in tails) for c in letters] + [" ".join(tails)]
+    texts += ["<|endoftext|>. x<|endoftext|>! <|ENDOFTEXT|> <|startoftext|>&&&"]
+    assert [list(map(int, i)) for i in token_shards.encode_texts(P.path("word_bpe_49k.json"), texts)] == B.word_ids(texts)
+
+
+def test_parts_ascend_and_spread_repeated_ids():
+    bounds, checks = B.np.array([5, 9, 9, 9, 20]), B.np.array([0, 1 << 31, (1 << 32) - 1], B.np.int64)
+    parts = lambda d: token_shards.parts_of(token_shards.pa.array([d] * 3, token_shards.pa.int64()), checks, bounds).tolist()
+    assert [parts(d) for d in (-2**63, 5, 6, 9, 10, 2**63 - 1)] == [[0] * 3, [0, 1, 1], [1] * 3, [1, 3, 4], [4] * 3, [5] * 3]
+    assert parts(None) == [6, 9, 11]
+
+
 def test_large_ids_ascend(spark, tmp_path):
     ids = [2**60, 2**60 + 5, 2**60 + 1, -2**62, 2**63 - 1, 2**53 + 1, 2**53, -2**63] * 2
     docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(4)
