@@ -16,8 +16,9 @@ members are linked over midpoints instead: fingerprints differ in two bits or fe
 a fingerprint that differs from each in one bit or none, so each member is listed under its 65 midpoints
 and linked to the smallest listed there. That is linear in the members and just as exact.
 
-``similar``, ``similar_by_leaders`` and ``keep_one_similar`` compare five-word shingles by exact Jaccard similarity
-instead: that is what the pipeline's stage takes as near copies, far wider than two bits. ``similar`` loses no link.
+``similar``, ``similar_by_leaders`` and ``keep_one_similar`` compare five-word shingles by exact Jaccard similarity:
+that is what the pipeline's stage takes as near copies, far wider than two bits. ``similar`` takes the fingerprints of these
+shingles through the same tables first, the sets decide, and what two bits do not reach is found by parts of the sets. It loses no link.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Repeated rows share a
 class. No rows: no rows.
@@ -267,14 +268,14 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, common: dict[int, int], id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
-    """``doc_id``, ``mark``, ``key`` (a hash of the set of shingles), ``n`` shingles, ``parts`` (``part_keys``) and ``odd``
+    """``doc_id``, ``mark``, ``key`` (a hash of the set of shingles), ``n`` shingles, ``fp``, ``parts`` (``part_keys``) and ``odd``
     (``parities``). How often ``common`` has a shingle says how rare it is. A text without words has no parts; such
     texts share their key."""
     names = np.array(sorted(common), np.int64)
     times = np.array([common[k] for k in names.tolist()], np.int64)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, sizes, parts, odd = [], [], [], []
+        keys, sizes, prints, parts, odd = [], [], [], [], []
         for text in batch.column("text"):
             found = np.unique(shingle_hashes(text.as_py(), shingle))
             signed, n = found.view(np.int64), len(found)
@@ -284,14 +285,16 @@ def shingle_sets(docs: DataFrame, common: dict[int, int], id_col: str = "doc_id"
                 often = np.where(names[at] == signed, times[at], 0)
             keys.append(_signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)))
             sizes.append(n)
+            prints.append(_signed(_majority(found)))
             parts.append(part_keys(found, often).view(np.int64))
             odd.append(parities(found))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("mark"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(parts, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "n", "parts", "odd"])
+             pa.array(prints, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+            ["doc_id", "mark", "key", "n", "fp", "parts", "odd"])
 
     rows = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return map_batches(rows, run, "doc_id long, mark long, key long, n long, parts array<long>, odd array<long>")
+    return map_batches(rows, run, "doc_id long, mark long, key long, n long, fp long, parts array<long>, odd array<long>")
 
 
 def common_shingles(docs: DataFrame, text_col: str = "text", shingle: int = WORDS) -> dict[int, int]:
@@ -351,17 +354,31 @@ def _keys(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
 
 
+def print_pairs(sized: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints are equal or linked by ``near_classes``, over the least key of each fingerprint,
+    where sizes and parities allow the similarity. ``sized`` has a row per set."""
+    classes = freeze(sized.where("n > 0").groupBy("fp").agg(F.min("key").alias("first")), "classes")
+    equal = sized.join(classes, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    of = lambda name: classes.select(F.col("fp").alias(f"_{name}"), F.col("first").alias(name))
+    linked = near_classes(classes.select("fp")).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    linked = linked.join(of("a"), "_a").join(of("b"), "_b").select("a", "b")
+    found = freeze(equal.unionByName(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "print_pairs")
+    row = lambda name: sized.select(F.col("key").alias(name), F.struct("n", "odd").alias(f"_{name}"))
+    return found.join(row("a"), "a").join(row("b"), "b").where(_may_be_similar("_a", "_b")).select("a", "b")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, mark and ``root``, the same for texts that links connect. A link is a Jaccard
     similarity of word shingles of ``PART / WHOLE`` or more.
 
     Exact: sets of the similarity share a part (``part_keys``), sizes and parities discard only what is less similar, and the
-    sets decide. All texts of a part are first compared with a few of them, so that large groups grow
+    sets decide. Texts whose fingerprints are within ``DISTANCE`` bits (``print_pairs``) are compared first, and all texts of
+    a part with a few of them, so that large groups grow
     together in linear work; then every pair of a part whose texts are in different groups. Only texts that are in no
     group, though they share parts with many others, cost the square of their number, and that in parities alone.
     """
     rows = freeze(shingle_sets(docs, common_shingles(docs, text_col, shingle), id_col, text_col, shingle), "parts")
-    sized = freeze(rows.select("key", "n", "odd").distinct(), "parities")
+    sized = freeze(rows.select("key", "n", "fp", "odd").distinct(), "parities")
     shared = rows.select(F.explode("parts").alias("h"), "key").groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     shared = freeze(shared.where("lo <> hi").select("h"), "shared")
     posted = mark_members(rows.select(F.explode("parts").alias("h"), "key"), shared).where("suspect").drop("suspect").distinct()
@@ -372,7 +389,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     side = lambda t, name, *more: t.select("h", F.struct("key", "n", "odd", *more).alias(name))
     pair = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
     first = side(posted.join(sized, "key"), "x").join(side(drawn.join(sized, "key"), "y"), "h").where("x.key <> y.key").where(_may_be_similar("x", "y"))
-    first = freeze(first.select(*pair).distinct(), "candidates")
+    first = freeze(first.select(*pair).unionByName(print_pairs(sized)).distinct(), "candidates")
     links = verified(first, sets_of(_keys(first), docs, rows, text_col, shingle))
     group = freeze(components(links).withColumnsRenamed({"node": "key", "component": "root"}), "groups")
     placed = freeze(posted.join(group, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")

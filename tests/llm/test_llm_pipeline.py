@@ -105,6 +105,40 @@ def test_near_stage_writes_parities_once_a_text(spark, monkeypatch):
     assert 0 < by_part < written["parts"]
 
 
+def test_near_stage_compares_fingerprints(spark, monkeypatch):
+    """Over the tables of distances; pairs within two bits are candidates, whatever parts they share, and the sets decide."""
+    draw, rows = B.np.random.default_rng(9), []
+    for d in range(300):
+        words = [f"{d // 3}w{i}" for i in range(900)]
+        for i in draw.choice(900, d % 3, replace=False):
+            words[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(words)))
+    rows += [(300 + i, " ".join(t.split()[::-1])) for i, (_, t) in enumerate(rows[:9])] + [(400, None), (401, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, real = [], simhash.pivot_table
+    monkeypatch.setattr(simhash, "pivot_table", lambda *args: tables.append(args) or real(*args))
+    groups = grouped(simhash.similar(frame))
+    assert len(tables) == 1 and sorted(map(sorted, groups)) == sorted(map(sorted, connected(rows)))
+    found = simhash.shingle_sets(frame, {}).where("n > 0").select("doc_id", "key", "n", "fp", "odd").collect()
+    ids, prints = {r.key: r.doc_id for r in found}, {r.key: r.fp for r in found}
+    pairs = simhash.print_pairs(spark.createDataFrame(found).select("key", "n", "fp", "odd").distinct()).collect()
+    keys = sorted(ids)
+    within = [(i, j) for j, b in enumerate(keys) for i, a in enumerate(keys[:j]) if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= simhash.DISTANCE]
+    root = B.classes(len(keys), [(keys.index(r.a), keys.index(r.b)) for r in pairs])
+    alike = [(i, j) for i, j in within if root[i] == root[j]]
+    linked = {frozenset((rows[i][0], rows[j][0])) for i, j in near_links(rows)}
+    assert {(keys.index(r.a), keys.index(r.b)) for r in pairs} <= set(within) and len(alike) > 50
+    assert all(p in alike for p in within if frozenset(ids[keys[i]] for i in p) in linked)
+
+
+def connected(rows):
+    """Sets of ids that links connect."""
+    groups = defaultdict(set)
+    for (d, *_), root in zip(rows, B.classes(len(rows), near_links(rows))):
+        groups[root].add(d)
+    return groups.values()
+
+
 def test_sets_of_the_similarity_share_a_part():
     """And differ in no more parities than shingles."""
     draw, checked = B.np.random.default_rng(1), 0
