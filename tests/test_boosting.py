@@ -49,6 +49,39 @@ def test_leaf_values_are_newton_steps(slots):
             assert model.rounds[0].rows[k][leaf] == len(inside)
 
 
+def test_a_round_judges_one_step_and_derives_one_softmax(slots, monkeypatch):
+    """Shorter steps are judged only where the first does not lower the loss, and leaves are summed from written gradients."""
+    calls = {"log_loss": 0, "softmax": 0}
+
+    def counted(name, real):
+        def run(*args):
+            calls[name] += 1
+            return real(*args)
+        return run
+
+    for name in calls:
+        monkeypatch.setattr(boosting, name, counted(name, getattr(boosting, name)))
+    model = boosting.fit_softmax(slots, "slot", ["x", "c"], BoostSettings(rounds=3, depth=2, learning_rate=0.5))
+    assert [r.step for r in model.rounds] == [0.5] * 3 and calls == {"log_loss": 4, "softmax": 1}
+
+
+def test_the_longest_step_that_lowers_the_loss(slots):
+    model = boosting.fit_softmax(slots, "slot", ["x", "c"], BoostSettings(rounds=1, depth=2, learning_rate=64))
+    (done,), known = model.rounds, slots.dropna(subset=["slot"])
+    rows = boosting.with_leaves(model.inputs.vectors(known).select("slot", "features"), done.trees).collect()
+
+    def loss(step):
+        out = []
+        for r in rows:
+            scores = [s + step * v[leaf] for s, v, leaf in zip(model.start, done.values, r["_leaves"])]
+            most = max(scores)
+            out.append(math.log(sum(math.exp(s - most) for s in scores)) + most - scores[model.labels.index(r.slot)])
+        return statistics.fmean(out)
+
+    lower = [s for s in (64 / 2 ** i for i in range(boosting.HALVINGS)) if loss(s) < model.first_loss]
+    assert done.step == lower[0] < 64 and done.loss == pytest.approx(loss(done.step))
+
+
 def test_softmax_loses_less_than_one_model_a_class(slots):
     """Same trees, rounds and step."""
     known, settings = slots.dropna(), BoostSettings(rounds=6, depth=2, learning_rate=0.3)
